@@ -56,14 +56,14 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into runs of rows with at most max_bytes of text (one row at least)."""
     for batch in batches:
         raw, offs = text_buffer(batch.column(batch.schema.get_field_index(column)))
         a, n = 0, batch.num_rows
         while a < n:
             b = int(np.searchsorted(offs, offs[a] + max_bytes, "right")) - 1
-            b = min(max(b, a + 1), n)
+            b = min(max(b, a + 1), a + max_rows, n)
             yield batch.slice(a, b - a), raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
 

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontamination, quality
+from cairn.llm import chat, decontamination, html_text, language, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality": quality.op2_quality,
+    "op3_fingerprints": simhash.op3_fingerprints,
+    "op4_chat": chat.op4_chat,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_language": language.op6_language,
+    "op7_packing": packing.op7_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL}
