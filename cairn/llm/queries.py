@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, decontamination, html_text, jaccard, language, packing, quality, secrets, simhash
+from cairn.llm import chat, decontamination, html_text, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": language.op6_language,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
