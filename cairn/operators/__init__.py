@@ -1 +1 @@
-
+"""Operators on the relations of archives."""
