@@ -145,8 +145,8 @@ def zero_extents(data: bytes, least: int = 4096) -> list[tuple[str, int, int]]:
 class ZeroExtents:
     """Table function of zero_extents, for LATERAL."""
 
-    def eval(self, data: bytes, least: int = 4096):
-        yield from zero_extents(bytes(data or b""), least)
+    def eval(self, data: bytes, least: int):
+        yield from zero_extents(data or b"", least)
 
 
 @F.udtf(returnType="chunk_no int, offset bigint, length bigint")

@@ -59,9 +59,9 @@ def blobs(spark: SparkSession, sf: str) -> DataFrame:
     n = (F.col("doc_id") % 50).cast("int")
     made = (
         F.when(k == 0, x("504B0304")).when(k == 1, F.repeat(F.expr("X'00'"), n)).when(k == 2, x("1F8B")).when(k == 3, x("FFD8FF")).when(k == 4, F.concat(F.expr("X'00'"), t)).when(k == 5, x("C328"))
-        .when(k == 6, F.concat(F.repeat(F.expr("X'01'"), n), t)).when(k == 7, x("25504446")).when(k == 8, x("535043 4B".replace(" ", ""))).when(k == 9, F.concat(F.expr("X'53504B330D0A1A0A0300000001'"), t)).when(k == 10, F.concat(F.expr("X'53504B320D0A1A0A02000000'"), t)).otherwise(t)
+        .when(k == 6, F.concat(F.repeat(F.expr("X'01'"), n), t)).when(k == 7, x("25504446")).when(k == 8, x("5350434B")).when(k == 9, F.concat(F.expr("X'53504B330D0A1A0A0300000001'"), t)).when(k == 10, F.concat(F.expr("X'53504B320D0A1A0A02000000'"), t)).otherwise(t)
     )
-    return docs(spark, sf).select("doc_id", made.alias("b"))
+    return docs(spark, sf).select("doc_id", made.cast("binary").alias("b"))
 
 
 BLOBS = f"""{DOCS}, blobs AS (SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN unhex('504B0304') || encode(text) WHEN 1 THEN unhex(repeat('00', (doc_id % 50)::INT)) WHEN 2 THEN unhex('1F8B') || encode(text) WHEN 3 THEN unhex('FFD8FF') || encode(text)
