@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions that hint at what a file holds.
 COMPRESSED_EXTENSIONS = (
@@ -26,12 +27,12 @@ ARCHIVE_EXTENSIONS = ("spk", "zip", "7z", "tar", "gz", "xz", "zst", "lz4")
 DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{k}" for k in range(1, 10)), *(f"LPT{k}" for k in range(1, 10)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfc(x: pa.Array) -> pa.Array:
     return pc.utf8_normalize(x, form="NFC")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _casefold(x: pa.Array) -> pa.Array:
     return pa.array([None if v is None else v.casefold() for v in x.to_pylist()], pa.string())
 

@@ -141,7 +141,7 @@ def zero_extents(data: bytes, least: int = 4096) -> list[tuple[str, int, int]]:
     return out + [("data", at, len(raw) - at)] if at < len(raw) else out
 
 
-@F.udtf(returnType="kind string, offset bigint, length bigint")
+@F.udtf(returnType=T.StructType([T.StructField("kind", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
 class ZeroExtents:
     """Table function of zero_extents, for LATERAL."""
 
@@ -149,7 +149,7 @@ class ZeroExtents:
         yield from zero_extents(data or b"", least)
 
 
-@F.udtf(returnType="chunk_no int, offset bigint, length bigint")
+@F.udtf(returnType=T.StructType([T.StructField("chunk_no", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
 class ContentChunks:
     """Table function of cut_one, for LATERAL."""
 

@@ -69,7 +69,10 @@ def path_rules(entries: DataFrame, version: int = 3, fold: str = "lower", links:
 
 
 def adjacent_conflicts(entries: DataFrame, fold: str = "lower") -> DataFrame:
-    """Files of which the next key in order lies below them; hides conflicts that other keys separate (R14 finds all)."""
+    """Files of which the next key in order lies below them; hides conflicts that other keys separate (R14 finds all).
+
+    Keys are compared below one top folder each: what conflicts shares it, and no task orders all keys.
+    """
     keyed = entries.select("path", "type", P.path_key(F.col("path"), fold).alias("key"))
     w = Window.partitionBy(F.element_at(F.split("key", "/"), 1)).orderBy("key")
     return keyed.withColumn("next", F.lead("key").over(w)).where((F.col("type") == "file") & F.startswith("next", F.concat("key", F.lit("/"))))

@@ -1 +1 @@
-
+"""Sources and sinks: file trees, block containers, archives of other tools."""

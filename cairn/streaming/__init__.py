@@ -1 +1 @@
-
+"""Structured Streaming over files and events."""
