@@ -42,6 +42,20 @@ _NONE = (1 << 63) - 1
 
 def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted positions of anchors, hashes of the SEED bytes there); windows never cross documents."""
+    got = [(x + offs[a], h) for a, b in _runs(offs) for x, h in [_anchors(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]]
+    return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in got)]), np.concatenate([np.zeros(0, np.uint64), *(h for _, h in got)])
+
+
+def _runs(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with at most C.SLICE_BYTES together (one at least)."""
+    a, n = 0, len(offs) - 1
+    while a < n:
+        b = min(max(int(np.searchsorted(offs, offs[a] + C.SLICE_BYTES, "right")) - 1, a + 1), n)
+        yield a, b
+        a = b
+
+
+def _anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -220,11 +234,16 @@ def _send_suffixes(shards: int):
         lo, hi = part.offs[d], part.offs[d + 1]
         has_left, has_right = np.minimum(at - lo, WIDTH - 1), np.minimum(hi - at, LENGTH)
         # equal surroundings in this part: all but those of the smallest document are told here
-        power, inverse = C._powers(len(part.raw) + 1)
-        total = np.zeros(len(part.raw) + 1, np.uint64)
-        np.cumsum(part.raw * power[: len(part.raw)], out=total[1:])
-        a, b = at - has_left, at + has_right
-        whole = C.mix64((total[b] - total[a]) * inverse[a] + (has_left * 64 + has_right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        whole = np.zeros(len(at), np.uint64)
+        for x, y in _runs(part.offs):
+            lo, hi = part.offs[x], part.offs[y]
+            own = slice(*np.searchsorted(at, (lo, hi)))
+            power, inverse = C._powers(hi - lo + 1)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(part.raw[lo:hi] * power[: hi - lo], out=total[1:])
+            a, b = at[own] - has_left[own] - lo, at[own] + has_right[own] - lo
+            whole[own] = (total[b] - total[a]) * inverse[a]
+        whole = C.mix64(whole + (has_left * 64 + has_right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         doc = part.first[d]
         turn = np.lexsort((doc, whole))
         head = np.ones(len(turn), bool)
@@ -318,7 +337,7 @@ _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_byt
 def dedup(docs: DataFrame, column: str = "text", with_text: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, shards = 8 * n, 2 * n
+    parts, shards = 2 * n, n  # a part sends a row to each shard at most: 2 * n * n rows
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col(column).alias("x")).mapInArrow(_collapsed(parts), "part int, ids array<long>, x string")
     seeds = texts.groupBy("part").applyInArrow(_send_seeds(shards), "shard int, part int, keys binary, multi binary")
     flags = seeds.groupBy("shard").applyInArrow(_meet_seeds, "part int, shard int, bits binary")
