@@ -20,11 +20,14 @@ def db():
     return c
 
 
-def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
+def test_queries_without_sql(spark):
+    """Compressed sizes are a library's own: these two are held to bounds."""
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"x32_probe", "c2_adaptive"}
+    assert all(0 < r.ratio < 2 for r in catalogue.QUERIES["x32_probe"](spark, SF).collect())
+    assert all(r.stored_bytes <= r.raw_bytes for r in catalogue.QUERIES["c2_adaptive"](spark, SF).collect())
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_equal(spark, db, name):
     df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
