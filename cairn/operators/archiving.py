@@ -15,6 +15,7 @@ from cairn.operators import blocks as K
 from cairn.operators import chunking as G
 from cairn.operators import codecs as D
 from cairn.operators import solid as S
+from cairn.operators.order import running_sum
 
 #: Order of a walk that enters each folder where its name stands.
 ORDER = "x__order"
@@ -128,16 +129,9 @@ def analyze(files: DataFrame, per_file: int = 512 << 10, total: int = 32 << 20)
 
     The sample takes the start of files in walk order until `total` bytes; only they are compressed.
     """
-    from pyspark.sql import Window
-
     f = _ordered(files.where("type = 'file'")).withColumn("category", P.category(F.col("path"))).withColumn("want", F.least(F.lit(per_file), F.col("size")))
-    n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = f.repartitionByRange(n, ORDER).withColumn("x__range", F.spark_partition_id())
-    sums = ranged.groupBy("x__range").agg(F.sum("want").alias("s"))
-    before = sums.select("x__range", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("x__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x__before"))
-    w = Window.partitionBy("x__range").orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum("want").over(w), F.lit(0)) + F.col("x__before")
-    took = ranged.join(F.broadcast(before), "x__range").withColumn("take", F.greatest(F.lit(0), F.least(F.col("want"), F.lit(total) - prior)).cast("int"))
+    run = running_sum(f.select("path", ORDER, "want"), [F.col(ORDER)], F.col("want"), "end")
+    took = f.join(run.select("path", "end"), "path").withColumn("take", F.greatest(F.lit(0), F.least(F.col("want"), F.lit(total) - (F.col("end") - F.col("want")))).cast("int"))
     sample = took.withColumn("p", F.when(F.col("take") > 0, D.probed(F.substring(F.col("content"), F.lit(1), F.col("take")))))
     g = sample.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("take").alias("sampled"), F.sum(F.col("p") * F.col("take")).alias("packed"))
     all_ = g.agg(F.sum("bytes").alias("t"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.order import running_sum
+
 #: Bytes of a block record before its payload, of the manifest record, of a version 3 header.
 BLOCK_HEAD, MANIFEST_HEAD, HEADER_V3, HEADER_V2 = 50, 49, 41, 12
 
@@ -24,17 +26,9 @@ def dedup_stats(chunks: DataFrame, by: list[str], order: list[str], length: str
 
 
 def record_offsets(blocks: DataFrame, order: list[Column], stored: str = "stored_size", header: int = HEADER_V3) -> DataFrame:
-    """blocks with the offset of each payload when records follow each other in `order`.
-
-    The running sum is taken within ranges of `order` first and over the ranges' sums then, so no task orders all blocks.
-    """
-    spark = blocks.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = blocks.repartitionByRange(n, *order).withColumn("x__range", F.spark_partition_id())
-    sums = ranged.groupBy("x__range").agg(F.sum(F.col(stored) + BLOCK_HEAD).alias("s"))
-    before = sums.withColumn("x__before", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("x__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inner = Window.partitionBy("x__range").orderBy(*order)
-    return ranged.join(F.broadcast(before), "x__range").withColumn("offset", (F.lit(header) + F.col("x__before") + F.sum(F.col(stored) + BLOCK_HEAD).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(stored)).cast("long")).drop("x__range", "x__before")
+    """blocks with the offset of each payload when records follow each other in `order`."""
+    run = running_sum(blocks, order, F.col(stored) + BLOCK_HEAD, "x__end")
+    return run.withColumn("offset", (F.lit(header) + F.col("x__end") - F.col(stored)).cast("long")).drop("x__end")
 
 
 def stats(blocks: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn import model as M
 from cairn.functions import paths as P
+from cairn.operators.order import with_next
 
 
 def _broken(df: DataFrame, rule: str, when: Column, subject: Column, detail: Column) -> DataFrame:
@@ -69,13 +70,10 @@ def path_rules(entries: DataFrame, version: int = 3, fold: str = "lower", links:
 
 
 def adjacent_conflicts(entries: DataFrame, fold: str = "lower") -> DataFrame:
-    """Files of which the next key in order lies below them; hides conflicts that other keys separate (R14 finds all).
-
-    Keys are compared below one top folder each: what conflicts shares it, and no task orders all keys.
-    """
+    """Files of which the next key in order lies below them; hides conflicts that other keys separate (R14 finds all)."""
     keyed = entries.select("path", "type", P.path_key(F.col("path"), fold).alias("key"))
-    w = Window.partitionBy(F.element_at(F.split("key", "/"), 1)).orderBy("key")
-    return keyed.withColumn("next", F.lead("key").over(w)).where((F.col("type") == "file") & F.startswith("next", F.concat("key", F.lit("/"))))
+    pairs = with_next(keyed, [F.col("key"), F.col("path")], ["key"])
+    return pairs.withColumnRenamed("next_key", "next").where((F.col("type") == "file") & F.startswith("next", F.concat("key", F.lit("/"))))
 
 
 def segment_rules(entries: DataFrame, blocks: DataFrame) -> DataFrame:

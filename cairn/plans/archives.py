@@ -77,7 +77,7 @@ def c2_adaptive(spark, sf):
 
 @query("a9_analyze", f"WITH {V.DOCS}, {NAMED}, e AS (SELECT size, {EXT} AS ext FROM named) SELECT {CATEGORY} AS category, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM e GROUP BY 1")
 def a9_analyze(spark, sf):
-    f = named(spark, sf).join(V.docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id").select(F.concat("path", F.lit(""), F.lit("")).alias("path"), F.lit("file").alias("type"), "size", "content")
+    f = named(spark, sf).join(V.docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), F.lit("file").alias("type"), "size", "content")
     return A.analyze(f).select("category", "files", "bytes")
 
 

@@ -10,6 +10,7 @@ from cairn.operators import blocks as K
 from cairn.operators import chunking as G
 from cairn.operators import constraints as C
 from cairn.operators import solid as S
+from cairn.operators.order import pinned, running_sum, with_next
 from cairn.plans import vfs as V
 from cairn.plans.registry import query
 from cairn.plans.scans import INODES, NAMED, CATEGORY, EXT, inodes, named
@@ -61,7 +62,7 @@ def j4_first_occurrence(spark, sf):
 @query("j5_small_dup", f"WITH {V.DOCS}, d AS (SELECT doc_id, path, sha256(text) AS h FROM docs WHERE size <= 4096) SELECT d.path, f.path AS original FROM d JOIN (SELECT h, min(doc_id) AS first FROM d GROUP BY h) m USING (h) JOIN d f ON f.doc_id = m.first WHERE d.doc_id <> m.first")
 def j5_small_dup(spark, sf):
     d = V.docs(spark, sf).where("size <= 4096").select("doc_id", "path", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    firsts = d.groupBy("h").agg(F.min(F.struct("doc_id", "path")).alias("f"))
+    firsts = pinned(d.groupBy("h").agg(F.min(F.struct("doc_id", "path")).alias("f")))  # so that the join of a hot digest can be split
     return d.join(firsts, "h").where("doc_id <> f.doc_id").select("path", F.col("f.path").alias("original"))
 
 
@@ -191,20 +192,10 @@ CAP_FILE, CAP_ALL = 4096, 500_000
 @query("a9_sample_cap", f"WITH {V.DOCS}, s AS (SELECT doc_id, size, sum(least({CAP_FILE}, size)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - least({CAP_FILE}, size) AS prior FROM docs) SELECT doc_id, least(least({CAP_FILE}, size), greatest(0, {CAP_ALL} - prior))::BIGINT AS take FROM s")
 def a9_sample_cap(spark, sf):
     d = V.docs(spark, sf).select("doc_id", "size", F.least(F.lit(CAP_FILE), F.col("size")).alias("want"))
-    run = running(d, "doc_id", "want")
+    run = running_sum(d, [F.col("doc_id")], F.col("want"))
     return run.select("doc_id", F.least(F.col("want"), F.greatest(F.lit(0), F.lit(CAP_ALL) - (F.col("total") - F.col("want")))).cast("long").alias("take"))
 
 
-def running(df, order: str, value: str):
-    """df with total, the running sum of value in order: within ranges of order, then over the ranges' sums."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("x__range", F.spark_partition_id())
-    sums = ranged.groupBy("x__range").agg(F.sum(value).alias("s"))
-    before = sums.select("x__range", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("x__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x__before"))
-    inner = Window.partitionBy("x__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.join(F.broadcast(before), "x__range").withColumn("total", F.sum(value).over(inner) + F.col("x__before")).drop("x__range", "x__before")  # a row per range
-
-
 @query("a11_median", "SELECT event_type, median(value) AS mid, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def a11_median(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("mid"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -215,11 +206,12 @@ def a12_peak(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("value").alias("peak"))
 
 
-@query("a13_corpus_digest", f"WITH {V.DOCS}, h AS (SELECT lang, source, path, sha256(text) AS h FROM docs) SELECT lang, source, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path)) AS digest FROM h GROUP BY lang, source")
+@query("a13_corpus_digest", f"WITH {V.DOCS}, h AS (SELECT lang, doc_id // 500 AS part, path, sha256(text) AS h FROM docs) SELECT lang, part, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path)) AS digest FROM h GROUP BY lang, part")
 def a13_corpus_digest(spark, sf):
-    h = V.docs(spark, sf).select("lang", "source", "path", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    # digests of at most 500 documents each: no task gathers a whole corpus
+    h = V.docs(spark, sf).select("lang", F.expr("doc_id div 500").alias("part"), "path", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat_ws(":", x["path"], x["h"]))
-    return h.groupBy("lang", "source").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    return h.groupBy("lang", "part").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
 @query("a14_distinct", f"WITH {V.CHUNKS} SELECT lang, count(DISTINCT block_id)::BIGINT AS blocks, count(DISTINCT path)::BIGINT AS paths FROM chunks GROUP BY lang")
@@ -249,28 +241,28 @@ def a18_control_count(spark, sf):
     return V.docs(spark, sf).select("doc_id", F.regexp_count("text", F.lit(r"[\x00-\x1f]")).alias("n"))
 
 
-SMALL = f"{V.DOCS}, small AS (SELECT lang, source, doc_id, path, size, text FROM docs WHERE size <= 4096)"
+SMALL = f"{V.DOCS}, small AS (SELECT lang, doc_id // 1000 AS shard, doc_id, path, size, text FROM docs WHERE size <= 4096)"
 PACK_LIMIT = 32768
-_PACKED = f"""WITH RECURSIVE {SMALL}, o AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM small),
-p AS (SELECT lang, source, doc_id, text, size, rn, 0::BIGINT AS block, 0::BIGINT AS "offset", size AS n FROM o WHERE rn = 1
- UNION ALL SELECT o.lang, o.source, o.doc_id, o.text, o.size, o.rn, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN p.block + 1 ELSE p.block END, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN 0 ELSE p.n END,
-  CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN o.size ELSE p.n + o.size END FROM p JOIN o ON o.lang = p.lang AND o.source = p.source AND o.rn = p.rn + 1)"""
+_PACKED = f"""WITH RECURSIVE {SMALL}, o AS (SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY doc_id) AS rn FROM small),
+p AS (SELECT lang, shard, doc_id, text, size, rn, 0::BIGINT AS block, 0::BIGINT AS "offset", size AS n FROM o WHERE rn = 1
+ UNION ALL SELECT o.lang, o.shard, o.doc_id, o.text, o.size, o.rn, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN p.block + 1 ELSE p.block END, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN 0 ELSE p.n END,
+  CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN o.size ELSE p.n + o.size END FROM p JOIN o ON o.lang = p.lang AND o.shard = p.shard AND o.rn = p.rn + 1)"""
 
 
 def packed(spark, sf, *more):
-    small = V.docs(spark, sf).where("size <= 4096").select("lang", "source", "doc_id", "size", *more)
-    return S.solid_pack(small, ["lang", "source"], ["doc_id"], "size", PACK_LIMIT)
+    small = V.docs(spark, sf).where("size <= 4096").select("lang", F.expr("doc_id div 1000").alias("shard"), "doc_id", "size", *more)
+    return S.solid_pack(small, ["lang", "shard"], ["doc_id"], "size", PACK_LIMIT)
 
 
-@query("w8_solid_pack", f"{_PACKED} SELECT lang, source, doc_id, block, \"offset\" FROM p")
+@query("w8_solid_pack", f"{_PACKED} SELECT lang, shard, doc_id, block, \"offset\" FROM p")
 def w8_solid_pack(spark, sf):
-    return packed(spark, sf).select("lang", "source", "doc_id", "block", "offset")
+    return packed(spark, sf).select("lang", "shard", "doc_id", "block", "offset")
 
 
-@query("a19_solid_blocks", f"{_PACKED} SELECT lang, source, block, sha256(string_agg(text, '' ORDER BY \"offset\")) AS block_id FROM p GROUP BY lang, source, block")
+@query("a19_solid_blocks", f"{_PACKED} SELECT lang, shard, block, sha256(string_agg(text, '' ORDER BY \"offset\")) AS block_id FROM p GROUP BY lang, shard, block")
 def a19_solid_blocks(spark, sf):
     members = packed(spark, sf, F.col("text").cast("binary").alias("content"))
-    return S.concatenated(members, ["lang", "source", "block"]).select("lang", "source", "block", F.sha2("content", 256).alias("block_id"))
+    return S.concatenated(members, ["lang", "shard", "block"]).select("lang", "shard", "block", F.sha2("content", 256).alias("block_id"))
 
 
 @query("a20_file_stats", f"WITH {V.TREE} SELECT string_split(path, '/')[1] AS top, sum(size)::BIGINT AS input_bytes, count(*)::BIGINT AS input_files FROM tree GROUP BY 1")
@@ -285,7 +277,7 @@ def w2_first_per_inode(spark, sf):
 
 @query("w3_running", f"WITH {V.DOCS} SELECT doc_id, (sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS completed FROM docs")
 def w3_running(spark, sf):
-    return running(V.docs(spark, sf).select("doc_id", "size"), "doc_id", "size").select("doc_id", F.col("total").alias("completed"))
+    return running_sum(V.docs(spark, sf).select("doc_id", "size"), [F.col("doc_id")], F.col("size")).select("doc_id", F.col("total").alias("completed"))
 
 
 @query("w4_logical_offset", f"WITH {SEG} SELECT path, chunk_no, (sum(length) OVER (PARTITION BY path ORDER BY chunk_no) - length)::BIGINT AS at FROM seg")
@@ -301,7 +293,8 @@ def w6_record_offset(spark, sf):
 
 @query("w7_adjacent_pairs", f"WITH {V.DOCS} SELECT path, lead(path) OVER (PARTITION BY source ORDER BY path) AS next FROM docs")
 def w7_adjacent_pairs(spark, sf):
-    return V.docs(spark, sf).select("path", F.lead("path").over(Window.partitionBy("source").orderBy("path")).alias("next"))
+    d = with_next(V.docs(spark, sf).select("source", "path"), [F.col("source"), F.col("path")], ["source", "path"])
+    return d.select("path", F.when(F.col("next_source") == F.col("source"), F.col("next_path")).alias("next"))
 
 
 @query("w9_share", f"WITH {V.DOCS}, g AS (SELECT lang, sum(size)::BIGINT AS bytes FROM docs GROUP BY lang) SELECT lang, bytes, (sum(bytes) OVER ())::BIGINT AS total FROM g")
@@ -415,11 +408,11 @@ def g1_cdc_scaled(spark, sf):
     return G.content_chunks(d, ["k"], "content", *CDC).select("k", "chunk_no", "offset", "length")
 
 
-@query("g1_cdc_stream", _cdc_sql(f"{V.DOCS}, s AS (SELECT lang AS k, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM docs GROUP BY lang)", 64 << 10, 1 << 20, 18))
+@query("g1_cdc_stream", _cdc_sql(f"{V.DOCS}, s AS (SELECT doc_id // 250 AS k, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM docs GROUP BY 1)", 64 << 10, 1 << 20, 18))
 def g1_cdc_stream(spark, sf):
-    # one stream per language: a stream is cut in order, as long as it is
-    lines = V.docs(spark, sf).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    d = lines.select(F.col("lang").alias("k"), F.col("t").cast("binary").alias("content"))
+    # streams of 250 documents; a stream is cut in order, so its length bounds a task
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    d = V.docs(spark, sf).groupBy(F.expr("doc_id div 250").alias("k")).agg(F.array_join(texts, "\n").cast("binary").alias("content"))
     return G.content_chunks(d, ["k"]).select("k", "chunk_no", "offset", "length")
 
 

@@ -10,6 +10,7 @@ from cairn.functions import formats as X
 from cairn.functions import paths as P
 from cairn.operators import blocks as K
 from cairn.operators import chunking as G
+from cairn.operators.order import pinned, ranked
 from cairn.plans import vfs as V
 from cairn.plans.registry import query
 
@@ -27,19 +28,19 @@ def m1_dedup_report(spark, sf):
     return K.dedup_stats(V.chunks(spark, sf), ["lang"], ["doc_id", "chunk_no"])
 
 
-@query("s1_tree_order", f"WITH {V.TREE}, dirs AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, 'directory' AS type, 0::BIGINT AS size FROM (SELECT string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')))) AS i FROM tree)), a AS (SELECT path, 'file' AS type, size FROM tree UNION ALL SELECT * FROM dirs) SELECT path, type, size, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY string_split(path, '/')) AS place FROM a")
+@query("s1_tree_order", f"WITH {V.TREE}, dirs AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, 'directory' AS type, 0::BIGINT AS size FROM (SELECT string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')))) AS i FROM tree)), a AS (SELECT path, 'file' AS type, size FROM tree UNION ALL SELECT * FROM dirs) SELECT path, type, size, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM a")
 def s1_tree_order(spark, sf):
     files = V.tree(spark, sf).select("path", F.lit("file").alias("type"), "size")
     dirs = files.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct().select("path", F.lit("directory"), F.lit(0).cast("long"))
-    w = Window.partitionBy(F.element_at(F.split("path", "/"), 1)).orderBy(F.split("path", "/"))
-    return files.unionAll(dirs).withColumn("place", F.row_number().over(w).cast("long"))
+    return ranked(files.unionAll(dirs), [F.split("path", "/")])
 
 
 @query("s2_walk_order", f"WITH {V.DOCS}, a AS (SELECT path, array_to_string(string_split(path, '/')[1:-2], '/') AS parent, list_extract(string_split(path, '/'), -1) AS name FROM docs) SELECT path, row_number() OVER (PARTITION BY parent ORDER BY name) AS place FROM a")
 def s2_walk_order(spark, sf):
-    d = V.docs(spark, sf)
-    w = Window.partitionBy(P.parent(F.col("path"))).orderBy(P.basename(F.col("path")))
-    return d.select("path", F.row_number().over(w).cast("long").alias("place"))
+    d = V.docs(spark, sf).select("path", P.parent(F.col("path")).alias("parent"), P.basename(F.col("path")).alias("name"))
+    all_ = pinned(ranked(d, [F.col("parent"), F.col("name")], "at"))
+    firsts = pinned(all_.groupBy("parent").agg(F.min("at").alias("first")))
+    return all_.join(firsts, "parent").select("path", (F.col("at") - F.col("first") + 1).alias("place"))
 
 
 @query("s3_files_only", f"WITH {V.TREE} SELECT path, size FROM tree WHERE size > 0")
