@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy slice works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C55)  # odd, so invertible modulo 2**64
 _RINV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
