@@ -188,11 +188,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     last = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = pinned(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # so that joins of a hot node are split
         # large star: each larger neighbour of u is tied to u's smallest neighbour
         now = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         # small star: u and its smaller neighbours are tied to the smallest of them
-        small = now.groupBy("b").agg(F.min("a").alias("m"))
+        now = pinned(now)
+        small = pinned(now.groupBy("b").agg(F.min("a").alias("m")))
         now = now.join(small, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).where("m < x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
         now = pinned(now)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -205,12 +205,13 @@ def join(docs: DataFrame, column: str = "text", size: int = SHINGLE) -> DataFram
     # nodes of the candidate graph are hashes of keys: if two collide, more is compared, nothing is lost
     reps = sets.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
     buckets = reps.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head")
+    # tables that aggregations made are pinned before joins: a join of two plain exchanges is split where a key is hot
+    heads = C.written(buckets.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head"))
     ties = buckets.join(heads, "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     part = C.connected_components(ties)
-    members = reps.select("key", "doc_id", "n", F.xxhash64("key").alias("node")).distinct().join(part, "node").select("key", "doc_id", "n", "root")
+    members = C.written(reps.select("key", "doc_id", "n", F.xxhash64("key").alias("node")).distinct().join(part, "node").select("key", "doc_id", "n", "root"))
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("root", F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = members.join(C.pinned(sizes), "root").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "doc_id", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") != F.col("other")).alias("two"), "blocks"
     )
@@ -219,8 +220,8 @@ def join(docs: DataFrame, column: str = "text", size: int = SHINGLE) -> DataFram
     found = C.written(blocks.groupBy("root", "i", "j").applyInArrow(_verify(size), "a binary, b binary, n long"))
     n_links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     group = C.connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("top"))
-    info = classes.join(group, "key", "left").join(n_links, "key", "left").withColumn("top", F.coalesce("top", "key"))
-    tops = info.groupBy("top").agg(F.min("rep").alias("class_id"))
+    info = C.written(classes.join(group, "key", "left").join(n_links, "key", "left").withColumn("top", F.coalesce("top", "key")))
+    tops = C.written(info.groupBy("top").agg(F.min("rep").alias("class_id")))
     info = info.join(tops, "top").select("key", "class_id", F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return signed.select("doc_id", "key").join(info, "key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")
@@ -231,7 +232,7 @@ def one_of_each(docs: DataFrame, column: str = "text", size: int = SHINGLE) -> D
     """docs without those that a row with a smaller doc_id in their group stands for; repeats of a row go too."""
     kept = C.written(join(docs, column, size).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"), F.max("n_copies").alias("c")))
     gone = kept.where("doc_id <> class_id").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti")
+    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")  # ids are small; texts need no sort
     again = kept.where("n > 1").select("doc_id")
     if again.isEmpty():
         return out
