@@ -54,8 +54,8 @@ class Spec:
     """max_docs bounds the sample of documents learnt from, max_windows the windows of it."""
 
     max_docs: int = 20_000
-    max_windows: int = 4_000
-    steps: int = 150
+    max_windows: int = 1_500
+    steps: int = 90
     l2: float = 0.02
     least_chars: int = 12
 
