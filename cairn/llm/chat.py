@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.llm import common as C
+
 BLOCK = 4096
 TURN = "<|{role}|>\n{text}\n"
 
@@ -42,7 +44,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prefixes, conv_id and n_turns of the conversations that stay)."""
-    p = prefixes(turns)
+    p = C.written(prefixes(turns))
     ends = p.groupBy("conv_id").agg(F.max_by(F.struct("h1", "h2"), "pos").alias("h"), (F.max("pos") + 1).alias("n_turns")).select("conv_id", "n_turns", "h.h1", "h.h2")
     # a prefix hash that is not its conversation's end: a longer conversation begins so
     starts = p.join(ends.select("conv_id", "n_turns"), "conv_id").where("pos + 1 < n_turns").select((F.col("pos") + 1).alias("n_turns"), "h1", "h2").distinct()
