@@ -251,4 +251,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, column: str = "text", windo
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    got = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, decontamination, html_text, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
+from cairn.llm import chat, decontamination, html_text, jaccard, language, oracles, packing, quality, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": oracles.OP1_DECONTAMINATION,
+    "op4_chat": chat.OP4_SQL,
+    "op9_suffix_dedup": oracles.OP9_SUFFIX_DEDUP,
+    "op10_jaccard": oracles.OP10_JACCARD,
+}
