@@ -28,18 +28,18 @@ class ArchiveEngine:
         spark.dataSource.register(trees.TreeSource)
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def _run(self, phase: str):
         spark, tag = self.spark, self.tag
 
         class Tagged:
             def __enter__(inner):
-                spark.addTag(tag)
+                spark.sparkContext.addJobTag(tag)
                 self.progress(phase, "start")
 
             def __exit__(inner, *error):
-                spark.removeTag(tag)
+                spark.sparkContext.removeJobTag(tag)
                 self.progress(phase, "failed" if error[0] else "done")
 
         return Tagged()
@@ -63,7 +63,8 @@ class ArchiveEngine:
                     raise ValueError("zip files can't be encrypted here")
                 sinks.write_zip(files, destination)
                 return
-            entries, blocks = A.pack(files, profile)
+            # version 2 has other codec numbers, that the adaptive policy keeps to
+            entries, blocks = A.pack(files, profile, adaptive="auto" if version == 2 else None)
             order = F.col(A.ORDER)
             rows = ((r.block_id, r.method, r.raw_size, bytes(r.payload)) for r in blocks.orderBy(order, "chunk_no").toLocalIterator())
             listed = (r.asDict(True) for r in entries.orderBy(order).drop(A.ORDER).toLocalIterator())
@@ -105,8 +106,8 @@ class ArchiveEngine:
         broken = A.decode(blocks, keyed=bool(password)).where("error is not null").select(F.lit("R19").alias("rule"), F.col("block_id").alias("subject"), F.col("error").alias("detail"))
         return C.violations(entries, index, max_output=self.max_output_bytes, links="allow").unionByName(broken)
 
-    def extract(self, path: str, destination: str, password: str | None = None) -> int:
-        """Write an archive's files below destination, after all rules hold; the number of files."""
+    def extract(self, path: str, destination: str, password: str | None = None, restore: bool = False) -> int:
+        """Write an archive's files below destination, after all rules hold; the number of files. restore: also modes and times."""
         with self._run("extract"):
             external = not os.path.isdir(path) and not self._is_container(path)
             if external:
@@ -127,7 +128,7 @@ class ArchiveEngine:
             os.makedirs(destination, exist_ok=True)
             for r in entries.where("type in ('directory', 'dir')").select("path").toLocalIterator():
                 os.makedirs(f"{destination}/{r.path}", exist_ok=True)
-            done = A.write_files(entries, blocks, os.path.abspath(destination), keyed=bool(password)).agg(F.count("*").alias("n"), F.first("error", True).alias("error")).first()
+            done = A.write_files(entries, blocks, os.path.abspath(destination), keyed=bool(password), restore=restore).agg(F.count("*").alias("n"), F.first("error", True).alias("error")).first()
             if done.error:
                 raise OSError(done.error)
             return done.n

@@ -25,12 +25,13 @@ def _ordered(files: DataFrame) -> DataFrame:
     return files.withColumn(ORDER, F.replace("path", F.lit("/"), F.lit("\0")))
 
 
-def pack(files: DataFrame, profile: str = "balanced", small: int = M.SMALL_FILE, solid_limit: int = M.SOLID_LIMIT, chunking: tuple[int, int, int] = (M.CHUNK_MIN, M.CHUNK_MAX, M.CHUNK_MASK_BITS), spread: int = 0, adaptive: str | None = None, links: bool = False) -> tuple[DataFrame, DataFrame]:
+def pack(files: DataFrame, profile: str = "balanced", small: int = M.SMALL_FILE, solid_limit: int = M.SOLID_LIMIT, chunking: tuple[int, int, int] = (M.CHUNK_MIN, M.CHUNK_MAX, M.CHUNK_MASK_BITS), spread: int = 0, adaptive: str | None = None, links: bool = False, share_small: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entries, blocks) of files (model.FILE).
 
     Files over `small` bytes are cut by content; smaller ones share solid blocks, text apart from other data.
     spread: depth of the folders that small files are also kept apart by; 0 packs them in one sequence per
-    kind, deeper ones in parallel. Blocks are distinct before the codec runs; chunks of zeros have none.
+    kind, deeper ones in parallel. share_small: small files with equal bytes share the first one's place
+    instead of being packed again. Blocks are distinct before the codec runs; chunks of zeros have none.
     Links become entries if `links`, else they are skipped, as are special files.
     """
     f = _ordered(files.where(F.col("type").isin("file", "directory", *(("symlink", "hardlink") if links else ()))))
@@ -42,9 +43,17 @@ def pack(files: DataFrame, profile: str = "balanced", small: int = M.SMALL_FILE,
     wanted = first.groupBy("path").agg(F.collect_list(F.struct("block_id", "offset", "length", "chunk_no")).alias("w"))
     large = regular.join(wanted, "path").select(ORDER, "content", F.explode("w").alias("w")).select(F.col("w.block_id").alias("block_id"), F.col(ORDER), F.col("w.chunk_no").alias("chunk_no"), F.substring(F.col("content"), (F.col("w.offset") + 1).cast("int"), F.col("w.length").cast("int")).alias("content"))
     members = regular.where(F.col("size") <= small).select("path", ORDER, "size", "content", F.when(B.looks_like_text(F.col("content")), "text").otherwise("binary").alias("kind"), F.array_join(F.slice(F.split("path", "/"), 1, spread), "/").alias("shard"))
+    every = None
+    if share_small:
+        every = members.select("path", F.sha2("content", 256).alias("digest"))
+        firsts = members.withColumn("digest", F.sha2("content", 256)).groupBy("digest").agg(F.min(F.struct(ORDER, "path")).alias("m")).select("digest", F.col("m.path").alias("path"))
+        members = members.join(firsts.select("path"), "path", "left_semi")
     placed = S.solid_pack(members, ["kind", "shard"], [ORDER], "size", solid_limit)
     whole = S.concatenated(placed.select("kind", "shard", "block", "offset", "content"), ["kind", "shard", "block"]).withColumn("is_zero", B.is_zero(F.col("content"))).withColumn("block_id", F.sha2("content", 256))
     small_seg = placed.drop("content").join(whole.drop("content"), ["kind", "shard", "block"]).select("path", F.lit(0).alias("seq"), F.when(~F.col("is_zero"), F.struct(F.col("block_id").alias("block"), "offset", F.col("size").alias("length"), F.lit(None).cast("long").alias("zero"))).otherwise(F.struct(F.lit(None).cast("string").alias("block"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), F.col("size").alias("zero"))).alias("s"))
+    if every is not None:
+        shared = small_seg.join(firsts, "path").select("digest", "seq", "s")
+        small_seg = every.join(shared, "digest").select("path", "seq", "s")
     solid = whole.where("not is_zero").select("block_id", F.concat(F.lit("￿"), "kind", F.lit("\0"), "shard").alias(ORDER), F.col("block").cast("int").alias("chunk_no"), "content")
     distinct = large.unionByName(solid).groupBy("block_id").agg(F.min_by(F.struct(ORDER, "chunk_no", "content"), F.struct(ORDER, "chunk_no")).alias("r")).select("block_id", f"r.{ORDER}", "r.chunk_no", "r.content")
     blocks = D.encode_blocks(distinct, profile, adaptive=adaptive)
@@ -69,8 +78,8 @@ def pieces(entries: DataFrame, blocks: DataFrame, keyed: bool = False) -> DataFr
     return joined.select("path", "seg_no", piece.alias("piece"), "zero", F.when(F.col("block").isNotNull() & F.col("content").isNull(), F.coalesce("error", F.lit("missing block"))).otherwise(F.col("error")).alias("error"))
 
 
-def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool = False) -> DataFrame:
-    """Write files under root, a folder that all executors share: path, size, error of each.
+def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool = False, restore: bool = False) -> DataFrame:
+    """Write files under root, a folder that all executors share: path, size, error of each. restore: also modes and times.
 
     A file's pieces come in order to one task, that appends them to a temporary file and then links it to
     its name; a file that is there is never replaced.
@@ -93,6 +102,10 @@ def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool =
                 if error:
                     os.unlink(state["temp"])
                 else:
+                    if restore and state["mode"] is not None:
+                        os.chmod(state["temp"], state["mode"] & 0o777)
+                    if restore and state["mtime_ns"] is not None:
+                        os.utime(state["temp"], ns=(state["mtime_ns"], state["mtime_ns"]))
                     publish(state["temp"], f"{root}/{state['path']}")
             except FileExistsError:
                 error = "exists"
@@ -100,12 +113,12 @@ def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool =
             state["path"] = None
 
         for b in batches:
-            for path, piece, zero, error in zip(*(b.column(c).to_pylist() for c in ("path", "piece", "zero", "error")), strict=True):
+            for path, piece, zero, error, mode, when in zip(*(b.column(c).to_pylist() for c in ("path", "piece", "zero", "error", "mode", "mtime_ns")), strict=True):
                 if path != state["path"]:
                     finish()
                     os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
                     temp = f"{root}/{path}.{uuid.uuid4().hex}.partial"
-                    state |= {"path": path, "temp": temp, "f": open(temp, "xb"), "n": 0, "error": None}  # noqa: SIM115
+                    state |= {"path": path, "temp": temp, "f": open(temp, "xb"), "n": 0, "error": None, "mode": mode, "mtime_ns": when}  # noqa: SIM115
                 state["error"] = state["error"] or error
                 data = piece if piece is not None else None
                 if data is not None:
@@ -121,7 +134,8 @@ def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool =
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "size", "error"])
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces(entries, blocks, keyed).repartition(n, "path").sortWithinPartitions("path", "seg_no").mapInArrow(run, "path string, size long, error string")
+    rows = pieces(entries, blocks, keyed).join(entries.select("path", "mode", "mtime_ns"), "path")
+    return rows.repartition(n, "path").sortWithinPartitions("path", "seg_no").mapInArrow(run, "path string, size long, error string")
 
 
 def analyze(files: DataFrame, per_file: int = 512 << 10, total: int = 32 << 20) -> DataFrame:

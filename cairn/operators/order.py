@@ -6,7 +6,7 @@ combined on their own and joined back. Equal keys never straddle two ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -33,15 +33,16 @@ def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     return pinned(df.repartitionByRange(n, *order).withColumn("x__range", F.spark_partition_id()))
 
 
-#: Window over one row per range.
-_RANGES = Window.partitionBy(F.lit(0)).orderBy("x__range")
+def _by_range() -> WindowSpec:
+    """Window over a table of one row per range."""
+    return Window.partitionBy(F.lit(0)).orderBy("x__range")
 
 
 def running_sum(df: DataFrame, order: list[Column], value: Column, name: str = "total") -> DataFrame:
     """df with the running sum of value up to and with each row, in a total order."""
     ranged = _ranged(df.withColumn("x__value", value), order)
     sums = ranged.groupBy("x__range").agg(F.sum("x__value").alias("s"))
-    before = sums.select("x__range", F.coalesce(F.sum("s").over(_RANGES.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x__before"))
+    before = sums.select("x__range", F.coalesce(F.sum("s").over(_by_range().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x__before"))
     inner = Window.partitionBy("x__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranged.join(F.broadcast(before), "x__range").withColumn(name, F.sum("x__value").over(inner) + F.col("x__before")).drop("x__range", "x__before", "x__value")  # a row per range is broadcast
 
@@ -56,7 +57,7 @@ def with_next(df: DataFrame, order: list[Column], columns: list[str]) -> DataFra
     ranged = _ranged(df, order)
     inner = Window.partitionBy("x__range").orderBy(*order)
     heads = ranged.groupBy("x__range").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("h"))
-    after = heads.select("x__range", F.lead("h").over(_RANGES).alias("x__after"))
+    after = heads.select("x__range", F.lead("h").over(_by_range()).alias("x__after"))
     found = F.coalesce(F.lead(F.struct(*columns)).over(inner), F.col("x__after"))
     out = ranged.join(F.broadcast(after), "x__range").withColumn("x__next", found)  # a row per range
     return out.select(*df.columns, *[F.col(f"x__next.{c}").alias(f"next_{c}") for c in columns])

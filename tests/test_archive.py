@@ -6,6 +6,8 @@ import os
 import random
 import struct
 import tarfile
+import threading
+import time
 import zipfile
 import zlib
 
@@ -13,7 +15,9 @@ import pytest
 
 from cairn import cli
 from cairn.archive import ArchiveEngine
+from cairn.jobs import JobManager
 from cairn.functions import crypto
+from cairn.operators import archiving as A
 from cairn.sources import container, sinks, trees
 
 KDF = (8 << 10, 1, 1)
@@ -175,6 +179,51 @@ def test_native_tables_and_scan(engine, spark, source, tmp_path):
     assert container.scan(spark, str(tmp_path / "c")).where("type = 'file'").count() == 9
 
 
+def test_older_version_is_written_and_metadata_restored(engine, source, tmp_path):
+    p = str(tmp_path / "two.spk")
+    os.chmod(source / "one.txt", 0o640)
+    os.utime(source / "one.txt", ns=(5_000_000_001, 5_000_000_001))
+    engine.create(str(source), p, version=2)
+    assert open(p, "rb").read(4) == b"SPK2" and engine.verify(p).collect() == []  # noqa: SIM115
+    engine.extract(p, str(tmp_path / "o"), restore=True)
+    assert contents(tmp_path / "o/source") == contents(source)
+    st = os.stat(tmp_path / "o/source/one.txt")
+    assert st.st_mode & 0o777 == 0o640 and st.st_mtime_ns == 5_000_000_001
+
+
+def test_equal_small_files_can_share_a_place(engine, tmp_path):
+    root = tmp_path / "s"
+    root.mkdir()
+    for k in range(5):
+        (root / f"{k}.txt").write_text("the same text" if k != 2 else "another text")
+    f = engine.files(str(root))
+    for share, size in ((False, 64), (True, 25)):
+        entries, blocks = A.pack(f, "store", share_small=share)
+        assert blocks.agg({"raw_size": "sum"}).first()[0] == size
+        got = {r.path: bytes(r.piece) for r in A.pieces(entries, blocks).where("piece is not null").collect()}
+        assert got == {f"s/{k}": v for k, v in contents(root).items()}
+
+
+def test_jobs(spark):
+    jobs = JobManager(spark)
+    gate = threading.Event()
+    a, b = jobs.start("verify", lambda progress: (progress("verify", 1, 2), gate.wait(20))[1]), jobs.start("list", lambda _: gate.wait(20))
+    with pytest.raises(RuntimeError):
+        jobs.start("third", lambda _: None)
+    gate.set()
+    assert jobs.result(a, 20) and jobs.result(b, 20)
+    bad = jobs.start("bad", lambda _: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.result(bad, 20)
+    rows = jobs.table().collect()
+    assert rows[0].job_id == 3 and {(r.event, r.phase) for r in rows if r.job_id == 1} == {("progress", "verify"), ("finished", None)}
+    slow = jobs.start("slow", lambda _: spark.range(10**12).selectExpr("sum(hash(id))").collect())
+    time.sleep(3)
+    jobs.cancel(slow)
+    with pytest.raises(Exception, match="cancel"):
+        jobs.result(slow, 60)
+
+
 def test_recovery(engine, source, tmp_path):
     p = tmp_path / "x.spk"
     engine.create(str(source), str(p))
