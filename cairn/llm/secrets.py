@@ -196,22 +196,26 @@ def fit(chains: list[tuple[list[list[str]], list[bool], list[int]]], spec: Spec)
     seen_t = np.zeros((3, 3))
     inner = pos > 0
     np.add.at(seen_t, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for step in range(1, spec.steps + 1):
         flat = np.column_stack([np.bincount(rows, w[cols, s], total) for s in range(3)])
         flat[:, BEGIN] += bar
         emit = np.zeros((len(chains), width, 3))
         emit[chain, pos] = flat
-        t = tr + free
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0] + start
-        for k in range(1, width):
-            alpha[:, k] = np.where(real[:, k, None], lse(alpha[:, k - 1, :, None] + t, 1) + emit[:, k], alpha[:, k - 1])
+        move = np.exp(tr + free)
+        near = np.exp(emit - emit.max(2, keepdims=True))
+        alpha, beta = np.empty_like(emit), np.ones_like(emit)
+        alpha[:, 0] = near[:, 0] * np.exp(start)
+        alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
+        for k in range(1, width):  # scaled at each step, so that no logarithms are needed
+            x = alpha[:, k - 1] @ move * near[:, k]
+            alpha[:, k] = np.where(real[:, k, None], x / x.sum(1, keepdims=True), alpha[:, k - 1])
         for k in range(width - 2, -1, -1):
-            beta[:, k] = np.where(real[:, k + 1, None], lse(t + (emit[:, k + 1] + beta[:, k + 1])[:, None, :], 2), 0)
-        z = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None])[chain, pos]
-        pair = np.exp(alpha[:, :-1, :, None] + t + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
+            x = (near[:, k + 1] * beta[:, k + 1]) @ move.T
+            beta[:, k] = np.where(real[:, k + 1, None], x / x.sum(1, keepdims=True), 1)
+        p = alpha * beta
+        p = (p / p.sum(2, keepdims=True))[chain, pos]
+        pair = alpha[:, :-1, :, None] * move * (near[:, 1:] * beta[:, 1:])[:, :, None, :]
+        pair /= pair.sum((2, 3), keepdims=True)
         pair[~real[:, 1:]] = 0
         err = p - np.eye(3)[gold]
         gw = np.column_stack([np.bincount(cols, err[rows, s], nf) for s in range(3)]) / len(chains) + spec.l2 * w / 10
