@@ -166,9 +166,14 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: columns can be read alone, and files are compressed."""
+    """df as a Parquet table in the shared checkpoint folder: columns can be read alone, and files are compressed.
+
+    The table goes when the application ends.
+    """
     place = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cairn-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(place)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 

@@ -12,8 +12,8 @@ soon as its mass at the threshold or above is under TOLERANCE. What is left is v
 shared shingles. Blocks return numbers of links and a spanning forest, not pairs.
 
 Null texts and texts without words have no set: they are linked to nothing and are a class of their own.
-Repeated rows with one doc_id share its class; a null doc_id keeps null where its class has no other id.
-Very long texts count with all their shingles: block sizes are bounded by shingles too.
+Repeated rows with one doc_id share its class. Rows with a null doc_id count as copies; a class that has only
+such rows is linked to nothing, and its ids are null. Very long texts count with all their shingles: block sizes are bounded by shingles too.
 """
 
 from __future__ import annotations

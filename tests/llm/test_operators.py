@@ -408,6 +408,14 @@ def test_join_equals_brute_force(docs, texts, empty, monkeypatch, block):
     assert jaccard.join(empty).count() == 0
 
 
+def test_join_with_null_ids(spark):
+    w = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    near = [*w[:-1], "other"]
+    df = spark.createDataFrame([(None, " ".join(w)), (4, " ".join(near)), (None, " ".join(near)), (7, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.join(df).collect()), key=repr)
+    assert got == sorted([(None, None, None, 0, 1), (4, 4, 4, 0, 2), (None, 4, 4, 0, 2), (7, 7, 7, 0, 1)], key=repr)
+
+
 def test_one_of_each(spark, docs, texts):
     want = {i for i, g in brute.groups(pairs(texts)).items() if g[0] == i}
     got = jaccard.one_of_each(docs)
