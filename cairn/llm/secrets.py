@@ -2,11 +2,14 @@
 
 Base patterns find assigned values, access keys and long hexadecimal runs. The field adds spans: it tags
 tokens (runs of letters and digits, or single marks) as begin, inside or outside of a secret, from their
-shape, the neighbouring words and features of the whole text, and is decoded by Viterbi. Only tokens around
-candidates (runs of eight or more letters and digits that mix both) are tagged: begin is ruled out
-elsewhere, so the best path is outside there. Its weights are learnt by maximum likelihood on the driver
-from a bounded sample of documents (`Spec.max_docs`), labelled by the base patterns, and from variants of
-their secrets in other alphabets and lengths.
+shape, the neighbouring words and features of the whole text. Every token of a text is scored, any may begin
+a secret, and what the best path tags is a span, whatever its length or alphabet. Its weights are learnt by
+maximum likelihood on the driver from a bounded sample of documents (`Spec.max_docs`), labelled by the base
+patterns, and from variants of their secrets in other alphabets and lengths: values that look like secrets
+under any name, and short, letter-only, digit-only or grouped ones only if a word of CUES is assigned them.
+
+The best path is found without Viterbi over all tokens: `Field.path` bounds what tagging could gain from each
+token on, and decodes only the stretches where that is not below what leaving them outside gives.
 
 Null texts are empty and have no spans. Offsets count code points. Repeated rows are scanned each on its
 own. Base spans stay as they are; a tagged span that meets one is dropped. Extra columns pass through.
@@ -14,12 +17,17 @@ own. Base spans stay as they are; a tagged span that meets one is dropped. Extra
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
 import re
+import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +49,15 @@ _HEX24 = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _ACCESS20 = re.compile(r"AKIA[A-Z0-9]+")
 _CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{8,}")
-_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+_WORD = re.compile(r"[A-Za-z]+")
+_TOKEN = re.compile(r"(\s*)([A-Za-z0-9]+|[^\sA-Za-z0-9])")
 #: Words that go before secrets.
 CUES = frozenset("password passwd pwd pass secret secrets token tokens api apikey key keys auth authorization bearer access credential credentials private client signature sig session cookie".split())
-#: Characters on either side of a candidate that are tagged.
-REACH = 80
+#: Characters on either side of what a training window is about, and the most that a window holds.
+REACH, WIDEST = 80, 800
+#: Distinct tokens whose scores a task keeps.
+_CACHE = 100_000
+QUOTES = "\"'`"
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -57,7 +69,6 @@ class Spec:
     max_windows: int = 1_500
     steps: int = 90
     l2: float = 0.02
-    least_chars: int = 12
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -71,25 +82,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Merged ranges of REACH characters around candidates, moved out to white space."""
-    out: list[list[int]] = []
-    for m in _CANDIDATE.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 2 * REACH:
+def windows(text: str, spans: list[tuple[int, int]]) -> list[tuple[bool, int, int]]:
+    """Ranges to learn from: (whether it is about one of spans, start, end).
+
+    About each span, and without any: about runs of letters and digits, words of CUES, and one place of the text.
+    """
+
+    def about(x: int, y: int) -> tuple[int, int]:
+        y = min(y, x + WIDEST - 4 * REACH)
+        a, b = max(0, x - REACH), min(len(text), y + REACH)
+        while a > 0 and not text[a - 1].isspace() and x - a < 2 * REACH:
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 2 * REACH:
+        while b < len(text) and not text[b].isspace() and b - y < 2 * REACH:
             b += 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+        return a, b
+
+    out = [(True, *about(x, y)) for x, y in spans]
+    at = zlib.crc32(text.encode("utf-8", "replace")) % max(len(text), 1)
+    near = [m.span() for m in _CANDIDATE.finditer(text)] + [m.span() for m in _WORD.finditer(text) if m[0].lower() in CUES] + [(at, at)]
+    starts, ends, last = [x for x, _ in sorted(spans)], list(accumulate((y for _, y in sorted(spans)), max)), -1
+    for x, y in sorted(near):
+        a, b = about(x, y)
+        k = bisect.bisect_left(starts, b)
+        if a >= last and b > a and (k == 0 or ends[k - 1] <= a):
+            out.append((False, a, b))
+            last = b
+    return out
 
 
-def _shape(t: str) -> list[str]:
+@lru_cache(20_000)
+def _shape(t: str) -> tuple[str, ...]:
     if not t.isalnum() or not t.isascii():
-        return [f"mark={t}" if t in "=:\"'`,.;/+-_@()[]{}<>#|&%$*!?\\~^" else "mark=other"]
+        return (f"mark={t}" if t in "=:\"'`,.;/+-_@()[]{}<>#|&%$*!?\\~^" else "mark=other",)
     digits, upper = sum(map(str.isdigit, t)), sum(map(str.isupper, t))
     n, letters = len(t), len(t) - digits
     f = [f"len={min(n.bit_length(), 7)}"]
@@ -102,7 +126,7 @@ def _shape(t: str) -> list[str]:
         f.append(f"entropy={int(entropy)}")
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", t):
             f.append("hex")
-    return f
+    return tuple(map(sys.intern, f))
 
 
 def file_features(text: str) -> list[str]:
@@ -126,8 +150,12 @@ def features(tokens: list[str], spaces: list[bool], of_file: list[str]) -> list[
             f.append(f"{d}:{shapes[j][0]}" if 0 <= j < len(tokens) else f"{d}:edge")
         if low[k] in CUES:
             f.append("is_cue")
-        if k and tokens[k - 1] in "=:":
-            f.append(f"assigned={cue > 0}")
+        j = k - 1
+        j -= j >= 0 and tokens[j] in QUOTES
+        if j > 0 and tokens[j] in "=:":
+            j -= 1
+            j -= j > 0 and tokens[j] in QUOTES
+            f.append(f"assigned={low[j] in CUES}")
         out.append(f)
     return out
 
@@ -139,58 +167,135 @@ class Field:
         self.index = {n: k for k, n in enumerate(names)}
         self.emission, self.transition, self.first = emission, transition, first
 
-    def scores(self, feats: list[list[str]], can: list[bool]) -> np.ndarray:
-        get = self.index.get
-        out = np.array([self.emission[[i for i in map(get, f) if i is not None]].sum(0) for f in feats]).reshape(-1, 3)
-        out[~np.array(can, bool), BEGIN] = -1e9
+        self._known: dict[str, int] = {}
+        self._kinds: dict[tuple, int] = {}
+        self._rows: list[np.ndarray] = []
+
+    def weight(self, *names: str) -> np.ndarray:
+        return self.emission[[k for k in map(self.index.get, names) if k is not None]].sum(0)
+
+    def scores(self, feats: list[list[str]]) -> np.ndarray:
+        return np.array([self.weight(*f) for f in feats]).reshape(-1, 3)
+
+    def _row(self, t: str) -> int:
+        """Where what t adds is kept: to its own score, to those two after, one after and one before; whether it is a cue, = or :, a quote."""
+        kind = (_shape(t), t.lower() in CUES, t in "=:", t in QUOTES)
+        k = self._kinds.get(kind)
+        if k is None:
+            shape, *marks = kind
+            own = self.weight("bias", *shape, *(["is_cue"] if marks[0] else []))
+            k = self._kinds[kind] = len(self._rows)
+            self._rows.append(np.concatenate([own, *(self.weight(f"{d}:{shape[0]}") for d in (-2, -1, 1)), marks]))
+        if len(self._known) >= _CACHE:
+            self._known.clear()
+        self._known[t] = k
+        return k
+
+    def emissions(self, tokens: list[str], spaces: np.ndarray, of_file: list[str]) -> np.ndarray:
+        """scores(features(...)), from what each distinct token adds."""
+        known = self._known
+        ids = np.fromiter((known[t] if t in known else self._row(t) for t in tokens), np.int64, len(tokens))
+        used, ids = np.unique(ids, return_inverse=True)
+        rows, n = np.array([self._rows[k] for k in used]), len(tokens)
+        cue, mark, quote = (rows[:, 12:] > 0)[ids].T
+        at = np.arange(n)
+        last = np.full(n, -7)
+        last[1:] = np.maximum.accumulate(np.where(cue, at, -7))[:-1]
+        far = at - last
+        far[far > 6] = 0
+        out = rows[ids, :3] + self.weight(*of_file)
+        out += np.array([self.weight(f"cue={d}") for d in range(7)])[far]
+        out += np.array([self.weight("space=False"), self.weight("space=True")])[spaces.astype(np.int64)]
+        for d, lo in ((-2, 3), (-1, 6), (1, 9)):
+            edge = self.weight(f"{d}:edge")
+            if d < 0:
+                out[-d:] += rows[ids[:d], lo : lo + 3]
+                out[:-d] += edge
+            else:
+                out[:-d] += rows[ids[d:], lo : lo + 3]
+                out[-d:] += edge
+        j = at - 1
+        j -= (j >= 0) & quote[j]
+        given = (j > 0) & mark[j]
+        j = np.where(given, j - 1, 0)
+        j -= (j > 0) & quote[j]
+        return out + np.where(given[:, None], np.array([self.weight("assigned=False"), self.weight("assigned=True")])[cue[j].astype(np.int64)], 0)
+
+    def path(self, emit: np.ndarray) -> np.ndarray:
+        """A best path of states over a whole text.
+
+        Scores are taken relative to outside throughout. A token of a tagged run adds no more than `most`; `rest`
+        is the best sum of these from a token on. In a best path no end of a run may be better left outside, so
+        rest is at least `bar` all over it, and what its first token can gain is not below 0. Stretches
+        where that holds are apart from each other by tokens outside, so each is decoded on its own.
+        """
+        n, tr = len(emit), self.transition - self.transition[OUT, OUT]
+        begin, inside = emit[:, BEGIN] - emit[:, OUT], emit[:, INSIDE] - emit[:, OUT]
+        first = begin + tr[OUT, BEGIN]
+        first[0] = begin[0] + self.first[BEGIN] - self.first[OUT]
+        most = np.maximum(np.maximum(first, begin + tr[:, BEGIN].max()), inside + tr[BEGIN:, INSIDE].max())
+        after = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        least = np.minimum.accumulate(after[::-1])[::-1]
+        rest = after[:-1] - least[1:]
+        leave = max(tr[BEGIN, OUT], tr[INSIDE, OUT], 0.0)
+        bar = min(0.0, tr[BEGIN, OUT], tr[INSIDE, OUT]) - leave - 1e-6
+        may = first + np.maximum(np.append(rest[1:], 0.0), 0) + leave >= -1e-6
+        out = np.zeros(n, np.int64)
+        live = rest >= bar
+        if not (live & may).any():
+            return out
+        turn = np.flatnonzero(np.diff(live.astype(np.int8), prepend=0, append=0))
+        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            starts = np.flatnonzero(may[a:b])
+            if len(starts):
+                a += int(starts[0])
+                out[a:b] = self.decode(emit[a:b], None if a == 0 else self.transition[OUT], None if b == n else self.transition[:, OUT])
         return out
 
-    def decode(self, emit: np.ndarray) -> list[int]:
-        """Viterbi: the best path of states; inside follows only begin or inside."""
+    def decode(self, emit: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> list[int]:
+        """Viterbi: the best path of states; inside follows only begin or inside. before and after: scores of entering and of leaving."""
         n = len(emit)
-        best, back = self.first + emit[0], np.zeros((n, 3), np.int64)
+        best, back = (self.first if before is None else before) + emit[0], np.zeros((n, 3), np.int64)
         best[INSIDE] = -1e9
         for k in range(1, n):
             cand = best[:, None] + self.transition
             back[k] = cand.argmax(0)
             best = cand.max(0) + emit[k]
-        path = [int(best.argmax())]
+        path = [int((best if after is None else best + after).argmax())]
         for k in range(n - 1, 0, -1):
             path.append(int(back[k, path[-1]]))
         return path[::-1]
 
 
-def _tokens(text: str, a: int, b: int) -> tuple[list[str], list[int], list[bool]]:
-    found = list(_TOKEN.finditer(text, a, b))
-    at = [m.start() for m in found]
-    return [m[0] for m in found], at, [k == 0 or at[k] > found[k - 1].end() for k in range(len(found))]
+def _tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tokens, where each begins, whether it is the first or has white space before it)."""
+    found = _TOKEN.findall(text)
+    tokens = [t for _, t in found]
+    gap, size = np.fromiter((len(g) for g, _ in found), np.int64, len(found)), np.fromiter(map(len, tokens), np.int64, len(found))
+    spaces = gap > 0
+    spaces[:1] = True
+    return tokens, np.cumsum(gap + size) - size, spaces
 
 
-def _can(t: str) -> bool:
-    """Whether a secret may begin here: letters and digits, four or more of them."""
-    return len(t) >= 4 and t.isascii() and t.isalnum()
-
-
-def fit(chains: list[tuple[list[list[str]], list[bool], list[int]]], spec: Spec) -> Field:
-    """Maximum likelihood with Adam; chains are padded to tables and run through forward and backward at once."""
-    names = sorted({n for feats, _, _ in chains for f in feats for n in f})
+def fit(chains: list[tuple[list[list[str]], list[int]]], spec: Spec) -> Field:
+    """Maximum likelihood with Adam; blocks of chains are padded to tables and run through forward and backward at once."""
+    names = sorted({n for feats, _ in chains for f in feats for n in f})
     index = {n: k for k, n in enumerate(names)}
     free = np.zeros((3, 3))
     free[OUT, INSIDE] = -1e9
     start = np.array([0.0, 0.0, -1e9])
     if not chains:
         return Field(["bias"], np.array([[10.0, 0, 0]]), free, start)
-    chains = sorted(chains, key=lambda c: len(c[2]))
-    length = np.array([len(c[2]) for c in chains])
-    rows = np.repeat(np.arange(length.sum()), [len(f) for feats, _, _ in chains for f in feats])
-    cols = np.array([index[n] for feats, _, _ in chains for f in feats for n in f])
+    chains = sorted(chains, key=lambda c: len(c[1]))
+    length = np.array([len(c[1]) for c in chains])
+    rows = np.repeat(np.arange(length.sum()), [len(f) for feats, _ in chains for f in feats])
+    cols = np.array([index[n] for feats, _ in chains for f in feats for n in f])
     total, nf = int(length.sum()), len(names)
     chain = np.repeat(np.arange(len(chains)), length)
     pos = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    gold = np.array([y for _, _, ys in chains for y in ys])
-    bar = np.where(np.array([c for _, can, _ in chains for c in can]), 0.0, -1e9)
-    width = int(length.max())
-    real = np.arange(width)[None] < length[:, None]
+    gold = np.array([y for _, ys in chains for y in ys])
+    ends = np.cumsum(length)
+    blocks = [slice(k, min(k + 256, len(chains))) for k in range(0, len(chains), 256)]  # of like lengths, so that little is padding
     w, tr = np.zeros((nf, 3)), np.zeros((3, 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
     seen_t = np.zeros((3, 3))
@@ -198,28 +303,34 @@ def fit(chains: list[tuple[list[list[str]], list[bool], list[int]]], spec: Spec)
     np.add.at(seen_t, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
     for step in range(1, spec.steps + 1):
         flat = np.column_stack([np.bincount(rows, w[cols, s], total) for s in range(3)])
-        flat[:, BEGIN] += bar
-        emit = np.zeros((len(chains), width, 3))
-        emit[chain, pos] = flat
         move = np.exp(tr + free)
-        near = np.exp(emit - emit.max(2, keepdims=True))
-        alpha, beta = np.empty_like(emit), np.ones_like(emit)
-        alpha[:, 0] = near[:, 0] * np.exp(start)
-        alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
-        for k in range(1, width):  # scaled at each step, so that no logarithms are needed
-            x = alpha[:, k - 1] @ move * near[:, k]
-            alpha[:, k] = np.where(real[:, k, None], x / x.sum(1, keepdims=True), alpha[:, k - 1])
-        for k in range(width - 2, -1, -1):
-            x = (near[:, k + 1] * beta[:, k + 1]) @ move.T
-            beta[:, k] = np.where(real[:, k + 1, None], x / x.sum(1, keepdims=True), 1)
-        p = alpha * beta
-        p = (p / p.sum(2, keepdims=True))[chain, pos]
-        pair = alpha[:, :-1, :, None] * move * (near[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        pair[~real[:, 1:]] = 0
+        p, gt = np.empty((total, 3)), -seen_t
+        for block in blocks:
+            size = length[block]
+            own, width = slice(int(ends[block.start] - size[0]), int(ends[block.stop - 1])), int(size.max())
+            place = chain[own] - block.start, pos[own]
+            real = np.arange(width)[None] < size[:, None]
+            emit = np.zeros((len(size), width, 3))
+            emit[place] = flat[own]
+            near = np.exp(emit - emit.max(2, keepdims=True))
+            alpha, beta = np.empty_like(emit), np.ones_like(emit)
+            alpha[:, 0] = near[:, 0] * np.exp(start)
+            alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
+            for k in range(1, width):  # scaled at each step, so that no logarithms are needed
+                x = alpha[:, k - 1] @ move * near[:, k]
+                alpha[:, k] = np.where(real[:, k, None], x / x.sum(1, keepdims=True), alpha[:, k - 1])
+            for k in range(width - 2, -1, -1):
+                x = (near[:, k + 1] * beta[:, k + 1]) @ move.T
+                beta[:, k] = np.where(real[:, k + 1, None], x / x.sum(1, keepdims=True), 1)
+            q = alpha * beta
+            p[own] = (q / q.sum(2, keepdims=True))[place]
+            pair = alpha[:, :-1, :, None] * move * (near[:, 1:] * beta[:, 1:])[:, :, None, :]
+            pair /= pair.sum((2, 3), keepdims=True)
+            pair[~real[:, 1:]] = 0
+            gt += pair.sum((0, 1))
         err = p - np.eye(3)[gold]
         gw = np.column_stack([np.bincount(cols, err[rows, s], nf) for s in range(3)]) / len(chains) + spec.l2 * w / 10
-        gt = (pair.sum((0, 1)) - seen_t) / len(chains) + spec.l2 * tr / 10
+        gt = gt / len(chains) + spec.l2 * tr / 10
         for x, g, m, v in ((w, gw, state[0], state[1]), (tr, gt, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -227,43 +338,70 @@ def fit(chains: list[tuple[list[list[str]], list[bool], list[int]]], spec: Spec)
     return Field(names, w, tr + free, start)
 
 
+_BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_PARTS = "ba con der el fi gor hu in jo ka lem mi nor ou pra qui ros ste tu val wen yor ze".split()
+#: Names that are not CUES, and what stands between a name and its value.
+_PLAIN = "value id name page count order version size date room title number line total user host color type".split()
+_ASSIGNED = (" = ", "=", ": ", ' = "', '="', ': "', ":")
+
+
+def _make(rng: random.Random, abc: str, n: int) -> str:
+    return "".join(rng.choice(abc) for _ in range(n))
+
+
 def _variants(rng: random.Random, value: str) -> list[str]:
     """Secrets like value in other alphabets and lengths."""
-    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    make = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
-    return [make(base62, rng.randint(20, 44)), make("0123456789ABCDEF", rng.choice([32, 40, 64])), f"{make(base62[26:52], 2)}-{make(base62, rng.randint(16, 32))}", f"{make(base62, 18)}.{make(base62, 22)}", make(base62[26:], max(16, len(value)))]
-
-
-def chains_of(text: str, rng: random.Random) -> list[tuple[list[list[str]], list[bool], list[int]]]:
-    """Labelled chains of a text: the base spans' values are secrets; chains with one come again with variants."""
-    spans = []
-    for kind, a, b in base_spans(text):
-        spans.append((a + ASSIGN.match(text, a).start(2) - a, b) if kind == "assign" else (a, b))
-    of_file, out = file_features(text), []
-
-    def chain(s: str, a: int, b: int, secret: list[tuple[int, int]]) -> None:
-        tokens, at, spaces = _tokens(s, a, b)
-        if not tokens:
-            return
-        y, last = [], None
-        for t, p in zip(tokens, at, strict=True):
-            own = next((x for x in secret if x[0] <= p and p + len(t) <= x[1]), None)
-            y.append(OUT if own is None else INSIDE if own == last else BEGIN)
-            last = own
-        can = [_can(t) or v == BEGIN for t, v in zip(tokens, y, strict=True)]
-        out.append((features(tokens, spaces, of_file), can, y))
-
-    for a, b in windows(text):
-        own = [s for s in spans if a <= s[0] and s[1] <= b]
-        chain(text, a, b, own)
-        if len(own) >= 1:
-            x, y = own[0]
-            for new in _variants(rng, text[x:y])[: 3 + (len(text) % 3)]:
-                # the value alone, so that its neighbours' words also count less than its shape
-                for left in (text[a:x], re.sub(r"(?i)(password|passwd|secret|token|api_?key)\b", lambda m: rng.choice(["key", "auth", "value", "session", "id", m[0]]), text[a:x])):
-                    s = left + new + text[y:b]
-                    chain(s, 0, len(s), [(len(left), len(left) + len(new))])
-    return out
+    abc = _BASE62
+    return [_make(rng, abc, rng.randint(20, 44)), _make(rng, "0123456789ABCDEF", rng.choice([32, 40, 64])), f"{_make(rng, abc[26:52], 2)}-{_make(rng, abc, rng.randint(16, 32))}", f"{_make(rng, abc, 18)}.{_make(rng, abc, 22)}", _make(rng, abc[26:], max(16, len(value)))]
+
+
+def _weak(rng: random.Random) -> list[str]:
+    """Values that only their name makes secrets: short, of letters or digits only, in words or in groups."""
+    abc = _BASE62
+    word = lambda: "".join(rng.choice(_PARTS) for _ in range(rng.randint(1, 3)))
+    return [
+        _make(rng, abc, rng.randint(8, 12)), _make(rng, abc[26:], rng.randint(6, 11)), word() + str(rng.randint(0, 9999)), _make(rng, abc[:52], rng.randint(8, 24)), _make(rng, abc[26:52], rng.randint(8, 24)), "".join(word() for _ in range(rng.randint(2, 4))),
+        _make(rng, abc[52:], rng.randint(6, 18)), rng.choice("-_.").join(word() for _ in range(rng.randint(2, 5))), "-".join(_make(rng, abc, rng.randint(3, 4)) for _ in range(rng.randint(3, 5))), "-".join(_make(rng, abc[:26] + abc[52:], 5) for _ in range(rng.randint(2, 5))),
+    ]
+
+
+def chain(text: str, secret: list[tuple[int, int]], of_file: list[str]) -> tuple[list[list[str]], list[int]]:
+    """The features and labels of a text's tokens; those within one of `secret` are of a secret."""
+    tokens, at, spaces = _tokens(text)
+    y, last = [], None
+    for t, p in zip(tokens, at.tolist(), strict=True):
+        own = next((x for x in secret if x[0] <= p and p + len(t) <= x[1]), None)
+        y.append(OUT if own is None else INSIDE if own == last else BEGIN)
+        last = own
+    return features(tokens, spaces.tolist(), of_file), y
+
+
+def chains_of(text: str, spans: list[tuple[int, int]], rng: random.Random, of_file: list[str]) -> list[tuple[list[list[str]], list[int]]]:
+    """Labelled chains of a window: itself and, if it holds a secret, variants of it, nine of them."""
+    out = [chain(text, spans, of_file)]
+    if spans:
+        x, y = spans[0]
+        name = re.search(r"""(?i)(password|passwd|secret|token|api_?key)["']?\s*[:=]\s*["']?\Z""", text[:x])
+        left, right = text[: name.start() if name else x], text[y:]
+
+        def add(before: str, value: str, secret: bool) -> None:
+            # what follows is the rest of the window, or its beginning again, so that it counts less too
+            at, follows = len(before) + len(value), rng.random() < 0.5 or not left.strip()
+            own = [(len(before), at)] if secret else []
+            if follows:
+                own += [(p - y + at, q - y + at) for p, q in spans[1:]]
+            out.append(chain(before + value + (right if follows else rng.choice(["\n", " ", " ", ", ", ". "]) + left.lstrip()), own, of_file))
+
+        for value in rng.sample(_variants(rng, text[x:y]), 2):
+            # the value alone, so that its neighbours' words also count less than its shape
+            for before in (text[:x], left + rng.choice(["key", "auth", "value", "session", "id", "token"]) + rng.choice(_ASSIGNED) if name else text[:x]):
+                add(before, value, True)
+        cues = sorted(CUES)
+        for value in rng.sample(_weak(rng), 3):
+            add(left + rng.choice(cues) + rng.choice(_ASSIGNED), value, True)
+        add(left + rng.choice(_PLAIN) + rng.choice(_ASSIGNED), rng.choice(_weak(rng)), False)
+        add(left + rng.choice(_PLAIN) + " ", rng.choice(_weak(rng)), False)
+    return [c for c in out if c[1]]
 
 
 def train(docs: DataFrame, column: str = "text", spec: Spec = Spec()) -> Field:
@@ -276,38 +414,41 @@ def train(docs: DataFrame, column: str = "text", spec: Spec = Spec()) -> Field:
         for b in batches:
             got = []
             for x in b.column("x").to_pylist():
-                for lo, hi in windows(x):
+                for hit, lo, hi in windows(x, values(x)):
                     piece = x[lo:hi]
-                    got.append((bool(base_spans(piece)), piece[:4000], hashlib.sha256(piece.encode()).hexdigest()))
+                    got.append((hit, piece, hashlib.sha256(piece.encode()).hexdigest()))
             cols = list(zip(*got, strict=True)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["hit", "x", "h"])
 
     seen = sample.select("x").mapInArrow(run, "hit boolean, x string, h string").distinct().orderBy(F.desc("hit"), "h").limit(spec.max_windows).toArrow()
     rng = random.Random(11)
-    chains = [c for x in seen.column("x").to_pylist() for c in chains_of(x, rng)]
+    chains = [c for x in seen.column("x").to_pylist() for c in chains_of(x, values(x), rng, file_features(x))]
     return fit(chains[: 4 * spec.max_windows], spec)
 
 
-def tagged_spans(text: str, field: Field, base: list[tuple[str, int, int]], least: int = 12) -> list[tuple[str, int, int]]:
-    """Spans that the field adds: least characters or more, with a digit and a letter, apart from base spans."""
-    out, of_file = [], None
-    for a, b in windows(text):
-        tokens, at, spaces = _tokens(text, a, b)
-        of_file = of_file or file_features(text)
-        path = field.decode(field.scores(features(tokens, spaces, of_file), [_can(t) for t in tokens]))
-        k = 0
-        while k < len(path):
-            if path[k] != BEGIN:
-                k += 1
-                continue
-            e = k + 1
-            while e < len(path) and path[e] == INSIDE and not spaces[e]:
-                e += 1
-            lo, hi = at[k], at[e - 1] + len(tokens[e - 1])
-            own = text[lo:hi]
-            if hi - lo >= least and any(map(str.isdigit, own)) and any(map(str.isalpha, own)) and all(hi <= x or y <= lo for _, x, y in base):
-                out.append(("tagged", lo, hi))
-            k = e
+def values(text: str) -> list[tuple[int, int]]:
+    """Where the secrets of base spans lie: of an assignment its value; overlapping ones count as the first."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted((a + ASSIGN.match(text, a).start(2) - a if kind == "assign" else a, b) for kind, a, b in base_spans(text)):
+        if not out or x >= out[-1][1]:
+            out.append((x, y))
+    return out
+
+
+def tagged_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that the field adds, apart from base spans."""
+    tokens, at, spaces = _tokens(text)
+    if not tokens:
+        return []
+    path = field.path(field.emissions(tokens, spaces, file_features(text)))
+    out = []
+    for k in np.flatnonzero(path == BEGIN).tolist():
+        e = k + 1
+        while e < len(path) and path[e] == INSIDE:
+            e += 1
+        lo, hi = int(at[k]), int(at[e - 1]) + len(tokens[e - 1])
+        if all(hi <= x or y <= lo for _, x, y in base):
+            out.append(("tagged", lo, hi))
     return out
 
 

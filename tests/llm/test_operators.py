@@ -344,6 +344,36 @@ def test_viterbi_is_the_best_path(field):
         assert math.isclose(value(field.decode(e)), value(best))
 
 
+def test_spans_of_any_length_and_alphabet(field):
+    """The field decides: short, letter-only, digit-only and grouped values of a cue are spans, and the same values elsewhere aren't."""
+    rng = random.Random(5)
+    hits = 0
+    for k, value in enumerate(["Zx9k2Lm8", "hunter27", "correcthorsebattery", "83726451927364", "kX3-9aQ-7Lp-2Zt", "QwHjfKdLsMzn"] * 4):
+        t = f"{prose(rng, 8)} {('pwd: ', 'password = ', 'secret: ', 'key = ')[k // 6]}{value} {prose(rng, 8)}"
+        hits += any(t[a:b] == value for kind, a, b in secrets.tagged_spans(t, field, []))
+        assert secrets.tagged_spans(f"{prose(rng, 8)} {value} {prose(rng, 8)}", field, []) == []
+    assert hits >= 18
+
+
+def test_path_is_viterbi_over_all_tokens(field, texts):
+    rng = np.random.default_rng(6)
+
+    def value(e, p):
+        return field.first[p[0]] + e[np.arange(len(p)), p].sum() + field.transition[p[:-1], p[1:]].sum()
+
+    for n in (1, 2, 7, 400):
+        for shift in (0, 1, 3, 6):
+            e = rng.normal(size=(n, 3)) * 3 + [shift, 0, 0]
+            assert math.isclose(value(e, field.path(e)), value(e, np.array(field.decode(e))))
+    for t in [*filter(None, texts), 'a key = "kX3-9aQ" x:\'y\' =', '"', "pwd", ': "q"']:
+        tokens, at, spaces = secrets._tokens(t)
+        if tokens:
+            assert [t[a : a + len(x)] for a, x in zip(at, tokens, strict=True)] == tokens
+            e = field.emissions(tokens, spaces, secrets.file_features(t))
+            assert np.allclose(e, field.scores(secrets.features(tokens, spaces.tolist(), secrets.file_features(t))))
+            assert math.isclose(value(e, field.path(e)), value(e, np.array(field.decode(e))))
+
+
 # 9: substrings
 
 
