@@ -63,10 +63,15 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 
 @dataclass(frozen=True)
 class Spec:
-    """max_docs bounds the sample of documents learnt from, max_windows the windows of it."""
+    """max_docs bounds the sample of documents learnt from, max_hits its windows about secrets, max_windows those without.
+
+    A window about a secret makes eleven chains, one without makes one, and all are learnt from, so the two bounds
+    hold on their own: however many secrets a corpus has, no window without one gives way.
+    """
 
     max_docs: int = 20_000
     max_windows: int = 1_500
+    max_hits: int = 400
     steps: int = 90
     l2: float = 0.02
 
@@ -142,12 +147,12 @@ def features(tokens: list[str], spaces: list[bool], of_file: list[str]) -> list[
     shapes = [_shape(t) for t in tokens]
     out = []
     for k in range(len(tokens)):
-        f = ["bias", *shapes[k], *of_file, f"space={spaces[k]}"]
+        f = ["bias", *shapes[k], *of_file, sys.intern(f"space={spaces[k]}")]
         cue = next((d for d in range(1, 7) if k - d >= 0 and low[k - d] in CUES), 0)
-        f.append(f"cue={cue}")
+        f.append(sys.intern(f"cue={cue}"))
         for d in (-2, -1, 1):
             j = k + d
-            f.append(f"{d}:{shapes[j][0]}" if 0 <= j < len(tokens) else f"{d}:edge")
+            f.append(sys.intern(f"{d}:{shapes[j][0]}" if 0 <= j < len(tokens) else f"{d}:edge"))
         if low[k] in CUES:
             f.append("is_cue")
         j = k - 1
@@ -365,6 +370,16 @@ def _weak(rng: random.Random) -> list[str]:
     ]
 
 
+def _clean(rng: random.Random) -> str:
+    """Addresses, dates, numbers and code, which are no secrets."""
+    word = lambda: "".join(rng.choice(_PARTS) for _ in range(rng.randint(1, 3)))
+    n = lambda m: str(rng.randint(1, m))
+    return rng.choice([
+        f"http{rng.choice(['', 's'])}://{word()}.{word()}.{rng.choice(['com', 'org', 'net'])}/{word()}/{n(99999)}?{word()}_{word()}={word()}&{word()}={n(999)}", f"www.{word()}{n(99)}.com/{word()}-{word()}-{word()}.html#{word()}", f"{word()}.{word()}{n(99)}@{word()}{n(9)}.{word()}.org",
+        f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}", f"+{n(99)} {n(999)}-{n(9999)}-{n(9999)}", f"/{word()}/{word()}{n(9)}/{word()}_{n(9999)}.txt", f"v{n(9)}.{n(20)}.{n(99)}-{word()}{n(9)}", f"{word()}_{word()} = {word()}({word()}[{n(99)}], {word()}={n(999)})",
+    ])
+
+
 def chain(text: str, secret: list[tuple[int, int]], of_file: list[str]) -> tuple[list[list[str]], list[int]]:
     """The features and labels of a text's tokens; those within one of `secret` are of a secret."""
     tokens, at, spaces = _tokens(text)
@@ -377,7 +392,7 @@ def chain(text: str, secret: list[tuple[int, int]], of_file: list[str]) -> tuple
 
 
 def chains_of(text: str, spans: list[tuple[int, int]], rng: random.Random, of_file: list[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Labelled chains of a window: itself and, if it holds a secret, variants of it, nine of them."""
+    """Labelled chains of a window: itself and, if it holds a secret, variants of it, ten of them."""
     out = [chain(text, spans, of_file)]
     if spans:
         x, y = spans[0]
@@ -401,29 +416,36 @@ def chains_of(text: str, spans: list[tuple[int, int]], rng: random.Random, of_fi
             add(left + rng.choice(cues) + rng.choice(_ASSIGNED), value, True)
         add(left + rng.choice(_PLAIN) + rng.choice(_ASSIGNED), rng.choice(_weak(rng)), False)
         add(left + rng.choice(_PLAIN) + " ", rng.choice(_weak(rng)), False)
+        add(left, f"{_clean(rng)} {rng.choice(_PLAIN)} {_clean(rng)}", False)
     return [c for c in out if c[1]]
 
 
-def train(docs: DataFrame, column: str = "text", spec: Spec = Spec()) -> Field:
-    """Learn from windows of a hash-chosen sample; no more than spec.max_windows windows' texts reach the driver."""
+def samples(docs: DataFrame, column: str = "text", spec: Spec = Spec()) -> pa.Table:
+    """Windows of a hash-chosen sample of documents, spec.max_hits about secrets and spec.max_windows without: hit, x, at (where secrets begin and end), of_file (of the whole text)."""
     n = docs.count()
     keep = min(1.0, spec.max_docs / max(n, 1))
     sample = docs.select(F.col("doc_id").alias("i"), F.col(column).alias("x")).where("x is not null").where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 30)) < int(keep * (1 << 30)))
+    schema = pa.schema([("hit", pa.bool_()), ("h", pa.string()), ("x", pa.string()), ("at", pa.list_(pa.int64())), ("of_file", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for x in b.column("x").to_pylist():
-                for hit, lo, hi in windows(x, values(x)):
-                    piece = x[lo:hi]
-                    got.append((hit, piece, hashlib.sha256(piece.encode()).hexdigest()))
-            cols = list(zip(*got, strict=True)) if got else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["hit", "x", "h"])
+                spans, of_file = values(x), file_features(x)
+                for hit, lo, hi in windows(x, spans):
+                    at = [k for p, q in spans if p < hi and q > lo for k in (max(p, lo) - lo, min(q, hi) - lo)]
+                    h = hashlib.sha256(repr((x[lo:hi], at, of_file)).encode()).hexdigest()
+                    got.append({"hit": hit, "h": h, "x": x[lo:hi], "at": at, "of_file": of_file})
+            yield from pa.Table.from_pylist(got, schema).to_batches()
+
+    seen = sample.select("x").mapInArrow(run, "hit boolean, h string, x string, at array<bigint>, of_file array<string>").dropDuplicates(["hit", "h"])
+    return pa.concat_tables([seen.where(F.col("hit") == hit).orderBy("h").limit(most).toArrow() for hit, most in ((True, spec.max_hits), (False, spec.max_windows))])
 
-    seen = sample.select("x").mapInArrow(run, "hit boolean, x string, h string").distinct().orderBy(F.desc("hit"), "h").limit(spec.max_windows).toArrow()
+
+def train(docs: DataFrame, column: str = "text", spec: Spec = Spec()) -> Field:
+    """Learn from the windows of `samples`, which are all that reaches the driver."""
     rng = random.Random(11)
-    chains = [c for x in seen.column("x").to_pylist() for c in chains_of(x, values(x), rng, file_features(x))]
-    return fit(chains[: 4 * spec.max_windows], spec)
+    return fit([c for w in samples(docs, column, spec).to_pylist() for c in chains_of(w["x"], list(zip(w["at"][::2], w["at"][1::2], strict=True)), rng, w["of_file"])], spec)
 
 
 def values(text: str) -> list[tuple[int, int]]:

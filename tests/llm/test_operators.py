@@ -374,6 +374,20 @@ def test_path_is_viterbi_over_all_tokens(field, texts):
             assert math.isclose(value(e, field.path(e)), value(e, np.array(field.decode(e))))
 
 
+def test_clean_windows_stay_among_many_hits(spark):
+    """A corpus full of secrets takes no window without one away, and windows keep features of their whole text."""
+    rng = random.Random(13)
+    made = [prose(rng, 20) + (f' token = "{rng.getrandbits(160):040x}" ' if k % 2 else f" order{k}x{k} ") + prose(rng, 300) for k in range(200)]
+    d = spark.createDataFrame(rows(made), DOCS)
+    got = secrets.samples(d, spec=secrets.Spec(max_windows=50, max_hits=30)).to_pylist()
+    assert [sum(w["hit"] == hit for w in got) for hit in (True, False)] == [30, 50]
+    assert all(w["of_file"] in [secrets.file_features(t) for t in made if w["x"] in t] and w["of_file"] != secrets.file_features(w["x"]) for w in got)
+    assert all(bool(w["at"]) == w["hit"] for w in got)
+    hit = next(w for w in got if w["hit"])
+    assert len(hit["x"][hit["at"][0] : hit["at"][1]]) == 40
+    assert len(secrets.chains_of(hit["x"], [tuple(hit["at"])], rng, hit["of_file"])) == 11
+
+
 # 9: substrings
 
 
