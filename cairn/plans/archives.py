@@ -43,7 +43,8 @@ def k5_unpack(spark, sf):
 def r19_verify(spark, sf):
     d = V.docs(spark, sf).select("doc_id", "size", F.col("text").cast("binary").alias("content"), F.sha2(F.col("text").cast("binary"), 256).alias("block_id"))
     k = F.col("doc_id") % 53
-    stored = d.where("doc_id % 53 in (7, 8, 9)").select(
+    # every block is decoded and hashed again; only the faults are laid by document
+    stored = d.select(
         "block_id", F.lit(0).cast("byte").alias("method"), F.when(k == 7, F.reverse(F.hex("content")).cast("binary")).otherwise(F.col("content")).alias("payload"), F.when(k == 7, F.col("size") * 2).when(k == 8, F.col("size") + 1).otherwise(F.col("size")).alias("raw_size")
     )
     bad = A.decode(stored).where("error is not null")

@@ -39,6 +39,32 @@ def test_equal(spark, db, name):
     assert got == want
 
 
+def test_verify_reaches_every_block(spark, monkeypatch):
+    """A block damaged in a document without a laid fault is found."""
+    from pyspark.sql import functions as F
+
+    from cairn.plans import archives
+
+    texts = {r.block_id: r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("block_id")).collect()}
+    target = next(b for b, i in sorted(texts.items()) if i % 53 == 20)
+    decode = archives.A.decode
+    monkeypatch.setattr(archives.A, "decode", lambda t: decode(t.withColumn("payload", F.when(F.col("block_id") == target, F.reverse(F.hex("payload")).cast("binary")).otherwise(F.col("payload"))).withColumn("raw_size", F.octet_length("payload").cast("long"))))
+    assert target in {r.block_id for r in catalogue.QUERIES["r19_verify"](spark, SF).collect()}
+
+
+def test_rehash_compares_stored_ids_of_all_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cairn.plans import vfs
+
+    chunks = vfs.chunks
+    rows = [r for r in chunks(spark, SF).select("doc_id", "block_id").collect()]
+    target = min(r.doc_id for r in rows if r.doc_id % 53 == 20)
+    want = {r.block_id for r in rows if r.doc_id == target}
+    monkeypatch.setattr(vfs, "chunks", lambda *a: chunks(*a).withColumn("block_id", F.when(F.col("doc_id") == target, F.lit("0" * 64)).otherwise(F.col("block_id"))))
+    assert want <= {r.subject for r in catalogue.QUERIES["r19_rehash"](spark, SF).collect()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
