@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import chat, decontamination, html_text, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
+from cairn.llm import chat, decontamination, html_text, induction, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import DOCS, prose, rows
 
@@ -414,28 +414,66 @@ def test_dedup_of_repeated_rows_and_null_ids(spark):
     assert kept[2] == " more"
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6), st.integers(2, 25))
-def test_induced_order(seed, n):
-    rng = np.random.default_rng(seed)
-    base = rng.integers(97, 99, (3, suffix_dedup.WIDTH - 1 + suffix_dedup.LENGTH), dtype=np.uint8)
-    x = base[rng.integers(0, 3, n)].copy()
-    for row in x:
-        if rng.random() < 0.5:
-            row[rng.integers(0, x.shape[1])] = 120
-    edge = suffix_dedup.WIDTH - 1
-    has_left, has_right = rng.integers(0, edge + 1, n), rng.integers(20, suffix_dedup.LENGTH + 1, n)
-    has_left[: n // 2], has_right[: n // 2] = edge, suffix_dedup.LENGTH
-    doc = rng.integers(0, 5, n).astype(np.int64)
-    got = suffix_dedup.induced_repeats(x[:, edge:], x[:, edge - 1 :: -1] if edge else x[:, :0], has_right, has_left, doc)
-    for j in range(suffix_dedup.WIDTH):
+def surroundings(rng, n):
+    """Tuples that agree in part, some at the edge of their document."""
+    t = np.zeros(n, induction.TUPLE)
+    base = rng.integers(97, 99, (3, induction.EDGE + induction.LENGTH), dtype=np.uint8)
+    t["near"] = base[rng.integers(0, 3, n)]
+    for k in np.flatnonzero(rng.random(n) < 0.5).tolist():
+        t["near"][k, rng.integers(0, t["near"].shape[1])] = 120
+    t["left"], t["right"] = rng.integers(0, induction.EDGE + 1, n), rng.integers(20, induction.LENGTH + 1, n)
+    t["left"][: n // 2], t["right"][: n // 2] = induction.EDGE, induction.LENGTH
+    t["doc"], t["part"], t["at"] = rng.integers(0, 5, n), rng.integers(0, 2, n), np.arange(n)
+    return t
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.sampled_from([1 << 20, 2000, 300, 100]))
+def test_induced_repeats_equal_brute_force(tmp_path_factory, seed, n, budget):
+    """In memory and, with budgets of a few tuples, from queues on disk."""
+    t = surroundings(np.random.default_rng(seed), n)
+    place = tmp_path_factory.mktemp("runs")
+    got = {}
+    for part, at, mask in induction.repeats([t[: n // 3], t[n // 3 :]], str(place), budget):
+        for a, m in zip(at.tolist(), mask.tolist(), strict=True):
+            assert part == t["part"][a]
+            got[a] = got.get(a, 0) | m
+    for j in range(induction.EDGE + 1):
         seen = {}
-        ok = [k for k in range(n) if has_left[k] >= j and has_right[k] >= suffix_dedup.LENGTH - j]
+        ok = [k for k in range(n) if t["left"][k] >= j and t["right"][k] >= induction.LENGTH - j]
+        at = lambda k: t["near"][k, induction.EDGE - j : induction.EDGE - j + induction.LENGTH].tobytes()  # noqa: B023, E731
         for k in ok:
-            w = x[k, edge - j : edge - j + suffix_dedup.LENGTH].tobytes()
-            seen[w] = min(seen.get(w, 99), doc[k])
-        want = {k for k in ok if seen[x[k, edge - j : edge - j + suffix_dedup.LENGTH].tobytes()] < doc[k]}
-        assert {k for k in range(n) if got[k] >> j & 1} == want
+            seen[at(k)] = min(seen.get(at(k), 99), t["doc"][k])
+        assert {k for k in range(n) if got.get(k, 0) >> j & 1} == {k for k in ok if seen[at(k)] < t["doc"][k]}
+    assert not list(place.iterdir())
+
+
+def test_queue_is_ordered_and_bounded(tmp_path):
+    rng = np.random.default_rng(5)
+    scratch = induction.Scratch(str(tmp_path))
+    q = induction.ByteQueue(scratch, 300, 7)
+    came = []
+    for _ in range(40):
+        byte = np.sort(rng.integers(0, 5, 20).astype(np.uint8))
+        who = rng.integers(0, 1 << 30, 20).astype(np.uint32)
+        q.push(byte, (who % 50).astype(np.uint8), who)
+        came += list(zip(byte.tolist(), who.tolist(), strict=True))
+        assert q.size <= 300
+    assert len(q.runs) > 5 and not q.single
+    for _ in range(2):
+        out = list(q.blocks())
+        assert np.concatenate([w for _, w in out]).tolist() == [w for _, w in sorted(came, key=lambda x: x[0])]
+        assert all((c == w % 50).all() for c, w in out) and max(len(w) for _, w in out) < 7 + 20
+    q.close()
+    assert not any(p.is_file() for p in tmp_path.rglob("*"))
+
+
+@pytest.mark.parametrize(("queue", "hot", "often"), [(1 << 20, 2, 2), (20_000, 4096, 1000)])
+def test_dedup_with_small_bounds(spark, docs, texts, monkeypatch, queue, hot, often):
+    """Queues on disk, many parts and shards, hot seeds and texts that only one row sends."""
+    for name, value in (("QUEUE_BYTES", queue), ("HOT", hot), ("OFTEN", often), ("PART_BYTES", 30_000), ("SHARD_BYTES", 20_000), ("SEED_BYTES", 40_000), ("ROW", 16)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert sorted(tuple(r) for r in suffix_dedup.dedup(docs).collect()) == brute.dedup(pairs(texts))
 
 
 # 10: Jaccard
