@@ -177,6 +177,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def unclashing(keep: tuple[str, ...] | list[str], results: tuple[str, ...] | list[str]) -> tuple[str, ...]:
+    """Columns to pass through: each once, and none under the name of a result, which stands instead."""
+    taken = {c.lower() for c in results}
+    return tuple(c for c in dict.fromkeys(keep) if c.lower() not in taken)
+
+
+def spare(name: str, columns: tuple[str, ...] | list[str]) -> str:
+    """A column name that begins with `name` and is none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id) -> "F.Column":
     """crc32 of doc_id's decimal text is divisible by 5; a null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -1,13 +1,19 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped: raw elements and comments go, block tags end a line, what lies in navigation, headers
-and footers of the page, sidebars, notices, adverts, forms or reader comments leaves empty lines. Over
-the lines' text lengths (text in links counts less), sums in a sliding window show where text surges and
-where it dives; the lines from each surge to its dive are the article. If the page marks an article or a
-main part, only lines in it have a length, and any text is a surge.
+Markup is stripped: raw elements and comments go, block tags end a line, and what a page itself declares to be
+navigation, its header or footer, a sidebar, notice, advert, form or reader comments leaves an empty line. A
+line's length is that of its text, or 0 if most of it is links. If the page marks an article or a main part,
+lines outside of it have no length.
+
+Lengths are summed over a sliding window of lines. Text surges at the first window with SURGE characters (or
+the most that the page has, if that is less), and dives after the last; both ends go on over neighbouring text
+until a window without any. What lies between is the article: all of its lines, short ones too, but for
+windows without own text, which are menus and link lists. On pages that mark nothing, lines at either end that
+stand in another element than the article's long lines are left out, headings before it aside.
 
 Null, empty or textless html gives the empty text. Unclosed and cut-off tags are taken as markup to the end
-of the page. Repeated rows are extracted each on its own; extra columns can be passed through.
+of the page. Very long pages are read whole. Repeated rows are extracted each on its own; an empty table gives
+no rows. Extra columns can be passed through, but not under the names of results, which stand.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm import common as C
+
 WINDOW = 3
-#: Characters in a window that make a surge on pages without a marked article.
+#: Characters in a window that make a surge.
 SURGE = 86
 
 _MARK = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -37,20 +46,36 @@ _HIDE = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|disp
 _CONTAIN = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 
 
-class _Line:
-    __slots__ = ("parts", "linked", "inside")
+class Line(NamedTuple):
+    """A line's text, its characters in links, whether it is in a marked article, its element's number, and whether it is a heading."""
+
+    text: str
+    linked: int = 0
+    inside: bool = False
+    home: int = 0
+    heading: bool = False
+
+
+class _Open:
+    __slots__ = ("parts", "linked", "inside", "heading")
 
     def __init__(self, inside: bool) -> None:
         self.parts: list[str] = []
-        self.linked, self.inside = 0, inside
+        self.linked, self.inside, self.heading = 0, inside, False
+
 
+#: Elements that hold blocks.
+_HOLD = {"div", "section", "article", "main", "td", "th", "header", "body", "center", "details"}
+_EMPTY = Line("")
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, characters in links, in a marked article) of each line, whether the page marks an article)."""
-    out: list[tuple[str, int, bool]] = []
-    now = _Line(False)
+
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """(lines, whether the page marks an article)."""
+    out: list[Line] = []
+    now = _Open(False)
     marked = False
     inside: list[str] = []  # open article and main elements
+    homes, made = [(0, "")], 0  # open elements that hold blocks
     skip, depth, link = "", 0, 0
     low = None
 
@@ -58,8 +83,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal now
         text = " ".join(html.unescape("".join(now.parts)).split())
         if text:
-            out.append((text, now.linked, now.inside))
-        now = _Line(bool(inside))
+            out.append(Line(text, now.linked, now.inside, homes[-1][0], now.heading))
+        now = _Open(bool(inside))
 
     at, end = 0, len(page)
     while at < end:
@@ -101,11 +126,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     while inside and inside.pop() != name:
                         pass
                 close()
-                out.extend([("", 0, False)] * WINDOW)
             elif name == "a":
                 link = max(0, link - 1)
             elif name in _BLOCK:
                 close()
+            if name in _HOLD and any(x == name for _, x in homes):
+                while homes.pop()[1] != name:
+                    pass
             continue
         if name == "br" or name in ("td", "th"):
             now.parts.append(" ")
@@ -117,7 +144,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if bad and name not in _VOID:
             if name in _BLOCK:
                 close()
-                out.extend([("", 0, False)] * WINDOW)
+                out.append(_EMPTY)
             if not attrs.endswith("/"):
                 skip, depth = name, 1
             continue
@@ -125,6 +152,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             link += 1
         if name in _BLOCK:
             close()
+            now.heading = name in ("h1", "h2", "h3")
+            if name in _HOLD and not attrs.endswith("/"):
+                made += 1
+                homes.append((made, name))
             if name in ("article", "main") or _CONTAIN.search(attrs):
                 inside.append(name)
                 marked = True
@@ -135,46 +166,57 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, marked
 
 
+def bounds(size: np.ndarray, window: int, surge: int) -> tuple[int, int, np.ndarray]:
+    """(surge, dive, whether a line is in a window without any text) of lines' lengths: the article is [surge, dive)."""
+    n = len(size)
+    padded = np.concatenate([size, np.zeros(window - 1, np.int64)])
+    near = np.convolve(padded, np.ones(window, np.int64), "valid")  # of a line and those after it
+    gap = np.convolve(np.convolve(size, np.ones(window, np.int64), "valid") == 0, np.ones(window, np.int64)) > 0 if n >= window else np.zeros(n, bool)
+    if not near.any():
+        return 0, 0, gap
+    some = np.flatnonzero(near >= min(surge, int(near.max())))
+    at, end = int(some[0]), min(int(some[-1]) + window, n)
+    while at > 0 and not gap[at - 1]:
+        at -= 1
+    while end < n and not gap[end]:
+        end += 1
+    return at, end, gap
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's article: its blocks, joined by two newlines."""
     if not page:
         return ""
     lines, marked = lines_of(page)
-    if not lines:
-        return ""
-    text = np.array([len(t) for t, _, _ in lines])
-    size = np.where([inside for _, _, inside in lines], text, 0) if marked else np.where([2 * linked > len(t) for t, linked, _ in lines], 0, text)
-    if marked and not size.any():
-        size, marked = text, False
-    near = np.convolve(size, np.ones(window, int))[window - 1 :]  # of a line and those after it
-    limit = 1 if marked else surge
-    keep, best, at, n = [], (0, 0, 0), 0, len(lines)
-    while at < n:
-        if size[at] == 0:
+    marked = marked and any(x.inside and x.text for x in lines)
+    size = np.array([0 if 2 * x.linked > len(x.text) or marked and not x.inside else len(x.text) for x in lines], np.int64)
+    if not size.any():  # links alone, or nothing
+        size = np.array([len(x.text) if x.inside or not marked else 0 for x in lines], np.int64)
+    at, end, gap = bounds(size, window, surge)
+    if not marked and end:
+        held: dict[int, int] = {}
+        for x, n in zip(lines[at:end], size[at:end].tolist(), strict=True):
+            held[x.home] = held.get(x.home, 0) + n
+        home = {x.home for x, n in zip(lines[at:end], size[at:end].tolist(), strict=True) if 2 * n >= surge} or {max(held, key=lambda k: held[k])}
+        while lines[at].home not in home and not (lines[at].heading and lines[at].text):
             at += 1
-            continue
-        stop = at
-        while stop < n and near[stop] > 0:
-            stop += 1
-        top, total = int(near[at:stop].max()), int(size[at:stop].sum())
-        if top >= limit:
-            keep.append((at, stop))
-        best = max(best, (total, -at, -stop))
-        at = max(stop, at + 1)
-    if not keep and best[0]:
-        keep = [(-best[1], -best[2])]
-    return "\n\n".join(lines[k][0] for a, b in keep for k in range(a, b) if lines[k][0] and (size[k] or not marked))
+        while lines[end - 1].home not in home:
+            end -= 1
+    return "\n\n".join(x.text for x, cut in zip(lines[at:end], gap[at:end].tolist(), strict=True) if x.text and not cut and (x.inside or not marked))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:
     """The `keep` columns, text and n_chars of every page."""
 
+    keep = C.unclashing(keep, ("text", "n_chars"))
+    x = C.spare("html", keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("x__html")]
+        for b, _, _ in C.slices(batches, x):
+            texts = [main_text(page.as_py()) for page in b.column(x)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    took = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("x__html"))
+    took = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(x))
     return took.mapInArrow(run, T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 

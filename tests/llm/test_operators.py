@@ -185,10 +185,76 @@ def test_page_without_article():
     assert out.split("\n\n")[1] == "Short." and "Link" not in out and "disagree" not in out and len(out.split("\n\n")) == 3
 
 
+LONG = ["Long paragraph of the story, with many words in a row. " * 5, "Another paragraph goes on and on here, and says more. " * 6, "The end of it is told in some more sentences of prose. " * 4]
+LINKS = "<ul>" + "".join(f"<li><a href={k}>Related story number {k}</a></li>" for k in range(6)) + "</ul>"
+P = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+#: Pages and their articles, marked by hand.
+MARKED = [
+    (f"<article><h1>Head</h1>{P(*LONG, 'Short end.')}</article><div>{P('I disagree with all of it. ' * 8)}</div>", ["Head", *LONG, "Short end."]),
+    (f"<article>{P(*LONG[:2])}<aside>{P(LONG[2])}</aside>{P('A short last one.')}{LINKS}{P('Share this')}</article>", [*LONG[:2], "A short last one."]),
+    (f"<main><div class=share>Tweet</div><h1>Head</h1>{P(LONG[0], 'Short.', LONG[1])}{LINKS}<section id=comments>{P(LONG[2])}</section></main><footer>All rights</footer>", ["Head", LONG[0], "Short.", LONG[1]]),
+    (f"<div role=main>{P(LONG[0])}<blockquote>Quoted</blockquote>{P(LONG[1])}<p>See <a href=x>the source of it</a></p>{P(LONG[2])}</div>", [LONG[0], "Quoted", LONG[1], "See the source of it", LONG[2]]),
+    (f"<div id=top>{LINKS}</div><div id=story><h2>Head</h2>{P(*LONG)}</div><div>2024 Someone</div>", ["Head", *LONG]),
+    (f"<body><h1>Head</h1>{P('By someone', *LONG, 'Bye.')}{LINKS}<div>Imprint and so on</div></body>", ["Head", "By someone", *LONG, "Bye."]),
+    (f"<body>{LINKS}<div>{P(LONG[0], 'Short.')}<div class=advert>{P(LONG[1])}</div>{P('Also short.', LONG[2])}</div>{LINKS}</body>", [LONG[0], "Short.", "Also short.", LONG[2]]),
+    (f"<table><tr><td>{LINKS}</td><td>{P(*LONG)}</td></tr></table><form><p>Search all of it</p></form>", LONG),
+]
+
+
+def test_pages_marked_by_hand():
+    import collections
+
+    f1 = []
+    for page, blocks in MARKED:
+        got, want = (collections.Counter(t.split()) for t in (html_text.main_text(page), "\n\n".join(blocks)))
+        f1.append(2 * (got & want).total() / (got.total() + want.total()))
+    assert np.mean(f1) > 0.99 and min(f1) > 0.97
+    assert sum(html_text.main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks) for page, blocks in MARKED) == len(MARKED)
+
+
+def test_the_window_decides():
+    """Other windows give other text, on pages that mark an article and on others."""
+    for k in (1, 5):
+        assert html_text.main_text(MARKED[k][0], window=20) != html_text.main_text(MARKED[k][0])  # a list of links is no dive then
+    page = f"<article>{P('Teaser.')}{LINKS}{P(*LONG)}{LINKS}{P('Share this')}</article>"
+    for p in (page, page.replace("article", "div")):
+        assert html_text.main_text(p).split("\n\n") == [" ".join(x.split()) for x in LONG]
+        assert "Teaser" in html_text.main_text(p, surge=1) and "Share" in html_text.main_text(p, surge=1)
+        assert html_text.main_text(p, surge=1) != html_text.main_text(p)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 5, 30, 100]), min_size=1, max_size=25), st.integers(1, 4), st.sampled_from([1, 40, 86, 200]))
+def test_bounds_equal_brute_force(sizes, window, surge):
+    n = len(sizes)
+    at, end, gap = html_text.bounds(np.array(sizes, np.int64), window, surge)
+    cut = [any(a + window <= n and not any(sizes[a : a + window]) for a in range(max(0, k - window + 1), k + 1)) for k in range(n)]
+    assert gap.tolist() == cut
+    sums = [sum(sizes[k : k + window]) for k in range(n)]
+    if not any(sizes):
+        assert (at, end) == (0, 0)
+        return
+    tops = [k for k in range(n) if sums[k] >= min(surge, max(sums))]
+    first, last = tops[0], min(tops[-1] + window, n)
+    while first and not cut[first - 1]:
+        first -= 1
+    while last < n and not cut[last]:
+        last += 1
+    assert (at, end) == (first, last)
+
+
 def test_pages_as_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>é x</article>", 5), (2, None, None, 6), (1, "u", "<article>é x</article>", 5)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect())
     assert got == [(1, "é x", 3), (1, "é x", 3), (2, "", 0)]
+    clash = df.withColumnRenamed("text", "n_chars").withColumnRenamed("url", "html_")
+    assert html_text.extract(clash, ("page_id", "n_chars", "html_", "html")).columns == ["page_id", "html_", "html", "text", "n_chars"]
+    assert html_text.extract(clash, ("page_id", "html")).count() == 3 and html_text.extract(df.limit(0)).count() == 0
+
+
+def test_very_long_page():
+    page = "<article>" + P(*LONG) * 3000 + "</article>"
+    assert html_text.main_text(page) == "\n\n".join([" ".join(x.split()) for x in LONG] * 3000)
 
 
 # 6: languages
