@@ -8,8 +8,9 @@ histogram goes by best fit, longest first, into the room of patterns that are op
 r-th piece of a length where it goes; r comes from counts per task and length, so no task sees all pieces
 of a length.
 
-Null text is the empty text: one piece with the single id 0. Repeated rows and ids are pieces of their own.
-Empty tables give no rows.
+Null text is the empty text: one piece with the single id 0. Repeated rows and ids are pieces of their own, as
+are rows without a doc_id. Very long texts are coded whole. An empty table gives no rows. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from cairn.llm import common as C
 
 SEQUENCE = 2048
 #: Beyond these characters the two libraries' character tables could differ by version.
-_RARE = re.compile(r"[^\x00-ɏ‐-‧€]")
+_RARE = r"[^\x00-ɏ‐-‧€]"
 _CODERS: dict[str, tuple] = {}
 
 
@@ -38,7 +39,7 @@ def coder(vocabulary: str | None = None):
 
     vocabulary: path of the .json file; None takes byte_bpe_50k.json of the installed public tokenizers.
     Texts of common characters are coded by the rank file of the same vocabulary, which is several times
-    as fast; all others by the .json file itself. Strings of special tokens are ordinary text.
+    as fast; all others, and those that hold one of its added tokens, by the .json file itself.
     """
     import base64
 
@@ -49,17 +50,18 @@ def coder(vocabulary: str | None = None):
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _CODERS:
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        added = "|".join(re.escape(t.content.strip()) for t in slow.get_added_tokens_decoder().values())
+        odd = re.compile(f"{_RARE}|{added}" if added else _RARE, re.I)
         fast = None
         if path == public_tokenizers.path("byte_bpe_50k.json"):
             with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _CODERS[path] = slow, fast
-    slow, fast = _CODERS[path]
+        _CODERS[path] = slow, fast, odd
+    slow, fast, odd = _CODERS[path]
 
     def code(text: str) -> np.ndarray:
-        if fast is not None and not _RARE.search(text):
+        if fast is not None and not odd.search(text):
             return fast.encode_to_numpy(text, disallowed_special=())
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -78,7 +80,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = coder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for batch, _, _ in C.slices(batches, "x"):
             rows, names = [], []
             ids_of = batch.column("doc_id")
             for d, text in enumerate(batch.column("x")):
@@ -93,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE,
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(names, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *PIECES.names])
 
-    return docs.select("doc_id", F.col(column).alias("x")).mapInArrow(run, T.StructType([docs.schema["doc_id"], *PIECES]))
+    return docs.select("doc_id", F.col(f"`{column}`").alias("x")).mapInArrow(run, T.StructType([docs.schema["doc_id"], *PIECES]))
 
 
 def _patterns(lengths: np.ndarray, size: int, per_length: int) -> np.ndarray:

@@ -341,18 +341,39 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
-@given(st.text(max_size=80))
-@settings(max_examples=150, deadline=None)
-def test_ids_are_those_of_the_json_file(text):
+def plain_coder():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ids_are_those_of_the_json_file, "t") else test_ids_are_those_of_the_json_file.t
-    test_ids_are_those_of_the_json_file.t = t
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<|endoftext|>", " <|endoftext|> ", "<|endoftext|", "<|ENDOFTEXT|>", "\n\n", "  "])), max_size=4).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_ids_are_those_of_the_json_file(text):
+    t = test_ids_are_those_of_the_json_file.__dict__.setdefault("t", plain_coder())
     assert packing.coder()(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_coded_as_such():
+    assert packing.coder()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_ids_of_whole_tables():
+    """Every text of the tables at sf0.1 has the ids of the .json file."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the tables are not here")
+    texts, code = [x or "" for x in pq.read_table(path, columns=["text"]).column(0).to_pylist()], packing.coder()
+    for k in range(0, len(texts), 1000):
+        for x, e in zip(texts[k : k + 1000], plain_coder().encode_batch(texts[k : k + 1000], add_special_tokens=False), strict=True):
+            assert code(x).tolist() == e.ids
+
+
 # 8: secrets
 
 
