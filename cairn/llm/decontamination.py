@@ -2,13 +2,19 @@
 
 Every slice of the corpus is a shard. A shard's suffix array holds, in word order, the suffixes that begin
 with two words with which some test window begins (no other suffix can match a window of two words or
-more). Each test suffix is binary-searched in it, a word deeper at a time, down to the window's length;
-the hits are then extended word by word to the longest verbatim match and its place.
-
-Windows: `window` consecutive words of an item; an item of fewer words, but not none, is one window.
-Null or wordless texts have no words, no hits and are never contaminated. Repeated documents are judged
-each on its own; items with equal text all count. Columns of documents pass through untouched, whatever
-their names. An empty benchmark hits nothing.
+more). Each distinct test window is binary-searched in it, a word deeper at a time. So a place of the corpus
+is found once for each length of a window, however many items hold it; items are looked up afterwards, once for
+each set of windows. From the places that are found, the longest verbatim match with any test suffix is
+binary-searched the other way round, in the suffix array of the test items.
+
+Windows: `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words are
+compared as 64-bit hashes; those of hits are compared byte by byte too.
+
+Null or wordless texts have no words, no hits and are never contaminated. Very long texts are a shard of
+their own. Repeated documents are judged each on its own; items with equal text all count, items without an id
+don't. Columns of documents pass through untouched, but not under the names of results, which stand. An
+empty benchmark hits nothing, empty documents give no rows. Of equally long matches the first in the document
+is reported, with the item that is first by its id as a string.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ BLOCK_BYTES = 16 << 20
 
 
 class TestBlock:
-    """Word hashes of a block of test items, and its window starts."""
+    """Word hashes of a block of test items, their suffix array, and their distinct windows with the items that hold them."""
 
     __test__ = False
 
@@ -38,19 +44,73 @@ class TestBlock:
         raw, offs = C.text_buffer(texts)
         words = C.Words(raw, offs)
         self.ids, self.words = np.array(ids, object), words.hash
+        self.vocabulary = {int(h): bytes(raw[a:b]).lower() for h, a, b in zip(words.hash.tolist(), words.start.tolist(), words.end.tolist(), strict=True)}
         count = np.diff(words.first)
-        self.length = np.minimum(count, window)
-        made = np.where(count > 0, count - self.length + 1, 0)
-        self.item = np.repeat(np.arange(len(count)), made)
+        length = np.minimum(count, window)
+        made = np.where(count > 0, count - length + 1, 0)
+        item = np.repeat(np.arange(len(count)), made)
         first = np.concatenate([[0], np.cumsum(made)])
-        self.at = np.arange(first[-1]) - first[:-1][self.item] + words.first[:-1][self.item]
-        self.deep = self.length[self.item]
-        self.end = words.first[1:][self.item]
+        at = np.arange(first[-1]) - first[:-1][item] + words.first[:-1][item]
+        deep = length[item]
+        self.end = np.repeat(words.first[1:], count)
+        self.item = np.repeat(np.arange(len(count)), count)
+        # distinct windows: a place, a length, and the items in [held_from, held_to) of held
+        name = np.zeros(len(at), np.int64)
+        for d in np.unique(deep).tolist():
+            own = deep == d
+            name[own] = self._names(at[own], d) * (window + 1) + d
+        order = np.lexsort((item, name))
+        new = np.ones(len(order), bool)
+        new[1:] = name[order[1:]] != name[order[:-1]]
+        one = np.ones(len(order), bool)
+        one[1:] = new[1:] | (item[order[1:]] != item[order[:-1]])
+        self.at, self.deep = at[order[new]], deep[order[new]]
+        self.held = item[order[one]]
+        self.held_from = np.flatnonzero(new[one])
+        self.held_to = np.append(self.held_from[1:], len(self.held))
+        self.sa = self._suffixes()
+        self.sums, self.power, self.inverse = _sums(self.words)
         pad = np.concatenate([self.words, np.zeros(1, np.uint64)])
         long = self.deep >= 2
         self.pairs = np.unique(_pair(pad[self.at[long]], pad[self.at[long] + 1]))
         self.singles = np.unique(pad[self.at[~long]])
 
+    def _names(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Numbers that are equal for places with the same `size` words."""
+        out = np.zeros(len(at), np.int64)
+        for d in range(size):
+            _, word = np.unique(self.words[at + d], return_inverse=True)
+            _, out = np.unique(out * (len(at) + 1) + word, return_inverse=True)
+        return out
+
+    def _suffixes(self) -> np.ndarray:
+        """Places of all words in the order of the suffixes of their items, by prefix doubling."""
+        n = len(self.words)
+        _, rank = np.unique(self.words, return_inverse=True)
+        rank, at, size = rank.astype(np.int64) + 1, np.arange(n), 1
+        while n:
+            next_ = at + size
+            key = rank * (n + 2) + np.where(next_ < self.end, np.append(rank, 0)[np.minimum(next_, n)], 0)
+            order = np.argsort(key, kind="stable")
+            new = np.ones(n, bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            rank[order] = np.cumsum(new)
+            size *= 2
+            if new.all() or size > int((self.end - at).max()):
+                return order
+        return at
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Ids, as sorted strings, of the items that hold any of the windows."""
+        return sorted(self.ids[np.unique(np.concatenate([self.held[self.held_from[w] : self.held_to[w]] for w in windows.tolist()]))].tolist())
+
+
+def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    power, inverse = C._powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return total, power, inverse
+
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * np.uint64(0x9FB21C651E98DF25) + b
@@ -126,21 +186,54 @@ def search(block: TestBlock, w: np.ndarray, first: np.ndarray, window: int) -> t
     return np.concatenate(found_p), np.concatenate(found_t)
 
 
-def _extended(block: TestBlock, w: np.ndarray, stop: np.ndarray, p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Words that match from each hit on."""
-    size = block.deep[t].copy()
-    act = np.arange(len(p))
+def longest(block: TestBlock, w: np.ndarray, stop: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the longest match of each place with any test suffix, the least place of the test items with it)."""
+    sums, _, inverse = _sums(w)
     pad, tpad = np.append(w, np.uint64(0)), np.append(block.words, np.uint64(0))
-    while len(act):
-        a, b = p[act] + size[act], block.at[t[act]] + size[act]
-        ok = (a < stop[act]) & (b < block.end[t[act]])
-        ok &= pad[np.minimum(a, len(w))] == tpad[np.minimum(b, len(block.words))]
-        act = act[ok]
-        size[act] += 1
-    return size
-
-
-_STATE = [("_runs", T.ArrayType(T.LongType())), ("_items", T.ArrayType(T.StringType())), ("_best", T.ArrayType(T.LongType())), ("_best_item", T.StringType())]
+    most_p = stop - p
+
+    def same(t: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether `size` words from p and from t on are equal, within the document and the item."""
+        ok = (size <= most_p) & (size <= block.end[t] - t)
+        a, b = np.where(ok, size, 0) + p, np.where(ok, size, 0) + t
+        return ok & ((sums[a] - sums[p]) * inverse[p] == (block.sums[b] - block.sums[t]) * block.inverse[t])
+
+    def common(t: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), np.int64)
+        step = 1 << max(1, int(most_p.max(initial=1)).bit_length())
+        while step:
+            out += step * same(t, out + step)
+            step >>= 1
+        return out
+
+    sa, n = block.sa, len(block.sa)
+    lo, hi = np.zeros(len(p), np.int64), np.full(len(p), n, np.int64)  # where the place's suffix would stand
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi) >> 1, n - 1)
+        t = sa[mid]
+        size = common(t)
+        a = np.where(size < most_p, pad[np.minimum(p + size, len(w))], np.uint64(0))
+        b = np.where(size < block.end[t] - t, tpad[np.minimum(t + size, len(block.words))], np.uint64(0))
+        less, act = b < a, lo < hi
+        lo, hi = np.where(act & less, mid + 1, lo), np.where(act & ~less, mid, hi)
+    best = np.zeros(len(p), np.int64)
+    for k in (np.maximum(lo - 1, 0), np.minimum(lo, n - 1)):
+        best = np.maximum(best, common(sa[k]))
+    # all with so many words are neighbours: their first and last place in the suffix array
+    left, right = np.zeros(len(p), np.int64), lo.copy()
+    while (left < right).any():
+        mid = (left + right) >> 1
+        on, act = same(sa[np.minimum(mid, n - 1)], best), left < right
+        left, right = np.where(act & ~on, mid + 1, left), np.where(act & on, mid, right)
+    a, left, right = left, lo.copy(), np.full(len(p), n, np.int64)
+    while (left < right).any():
+        mid = (left + right) >> 1
+        on, act = same(sa[np.minimum(mid, n - 1)], best), left < right
+        left, right = np.where(act & on, mid + 1, left), np.where(act & ~on, mid, right)
+    return best, np.array([sa[x:y].min(initial=n) for x, y in zip(a.tolist(), left.tolist(), strict=True)], np.int64)
+
+
+_STATE = [("runs", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("best", T.ArrayType(T.LongType())), ("best_item", T.StringType())]
 REPORT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
     T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
@@ -148,40 +241,61 @@ REPORT = T.StructType([
 ])
 
 
-def _scan(block_of, window: int, column: str, out: list[str], keep_clean: bool, state_in: bool, last: bool, share: int):
-    """mapInArrow function; state (runs, items, longest) is carried over further blocks of test items."""
-    arrow_state = {"_runs": pa.list_(pa.int64()), "_items": pa.list_(pa.string()), "_best": pa.list_(pa.int64()), "_best_item": pa.string()}
+def _hits(block: TestBlock, words: C.Words, raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, places, their windows, whether a word is hit). Words that only share a hash with one of a window get the hash 0."""
+    w = words.hash
+    while True:
+        p, t = search(block, w, words.first, window)
+        cover = np.zeros(len(w) + 1, np.int64)
+        np.add.at(cover, p, 1)
+        np.add.at(cover, p + block.deep[t], -1)
+        hit = np.cumsum(cover)[: len(w)] > 0
+        other = [k for k in np.flatnonzero(hit).tolist() if bytes(C.LOWER[raw[words.start[k] : words.end[k]]]) != block.vocabulary[int(w[k])]]
+        if not other:
+            return w, p, t, hit
+        w = w.copy()
+        w[other] = 0
+
+
+def _scan(block_of, window: int, column: str, out: list[str], keep_clean: bool, state: list[str], state_in: bool, last: bool, share: int):
+    """mapInArrow function; state (runs, items, longest, in columns of these names) is carried over further blocks of test items."""
+    arrow_state = dict(zip(state, (pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.string()), strict=True))
+    s_runs, s_items, s_best, s_best_item = state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = block_of.value
         for part, raw, offs in C.slices(batches, column):
             words = C.Words(raw, offs)
             first, n = words.first, part.num_rows
-            p, t = search(block, words.hash, first, window)
+            w, p, t, hit = _hits(block, words, raw, window)
             doc = np.searchsorted(first, p, "right") - 1
-            total = len(words.hash)
-            cover = np.zeros(total + 1, np.int64)
-            np.add.at(cover, p, 1)
-            np.add.at(cover, p + block.deep[t], -1)
-            hit = np.cumsum(cover)[:total] > 0
-            got = np.unique(np.stack([doc, block.item[t]]), axis=1) if len(p) else np.zeros((2, 0), np.int64)
+            got = np.unique(np.stack([doc, t]), axis=1) if len(p) else np.zeros((2, 0), np.int64)
             items: dict[int, list[str]] = {}
-            for d, i in zip(got[0].tolist(), got[1].tolist(), strict=True):
-                items.setdefault(d, []).append(block.ids[i])
-            size = _extended(block, words.hash, first[1:][doc], p, t)
+            known: dict[bytes, list[str]] = {}
+            own, cut = np.unique(got[0], return_index=True)
+            for d, ts in zip(own.tolist(), np.split(got[1], cut[1:]), strict=True) if len(own) else ():
+                key = ts.tobytes()
+                if key not in known:
+                    known[key] = block.items_of(ts)
+                items[d] = known[key]
             best: dict[int, tuple[int, int, str]] = {}
-            order = np.lexsort((t, p, -size, doc))
-            for k in order[np.unique(doc[order], return_index=True)[1]].tolist():
-                best[int(doc[k])] = (int(size[k]), int(p[k] - first[doc[k]]), block.ids[block.item[t[k]]])
+            if len(p) and not keep_clean:
+                places = np.unique(p)
+                of = np.searchsorted(first, places, "right") - 1
+                size, where = longest(block, w, first[1:][of], places)
+                order = np.lexsort((places, -size, of))
+                for k in order[np.unique(of[order], return_index=True)[1]].tolist():
+                    best[int(of[k])] = (int(size[k]), int(places[k] - first[of[k]]), block.ids[block.item[where[k]]])
             if state_in:
                 old = {k: part.column(k).to_pylist() for k in arrow_state}
                 for d in range(n):
-                    for a, b in zip(old["_runs"][d][::2], old["_runs"][d][1::2], strict=True):
+                    for a, b in zip(old[s_runs][d][::2], old[s_runs][d][1::2], strict=True):
                         hit[first[d] + a : first[d] + b] = True
-                    if old["_items"][d]:
-                        items.setdefault(d, []).extend(old["_items"][d])
-                    if old["_best"][d] and (d not in best or old["_best"][d][0] >= best[d][0]):
-                        best[d] = (*old["_best"][d], old["_best_item"][d])
+                    if old[s_items][d]:
+                        items[d] = [*items.get(d, []), *old[s_items][d]]
+                    if old[s_best][d]:
+                        before = (*old[s_best][d], old[s_best_item][d])
+                        best[d] = min(before, best.get(d, before), key=lambda x: (-x[0], x[1], x[2]))
             cols = {f: part.column(f) for f in part.schema.names if f not in arrow_state}
             if not last:
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -195,9 +309,9 @@ def _scan(block_of, window: int, column: str, out: list[str], keep_clean: bool,
                             runs[d] += [a - int(first[d]), e - int(first[d])]
                         a, d = max(a, e), d + 1
                 cols |= {
-                    "_runs": pa.array(runs, arrow_state["_runs"]), "_items": pa.array([items.get(d, []) for d in range(n)], arrow_state["_items"]),
-                    "_best": pa.array([list(best[d][:2]) if d in best else [] for d in range(n)], arrow_state["_best"]),
-                    "_best_item": pa.array([best[d][2] if d in best else None for d in range(n)], pa.string()),
+                    s_runs: pa.array(runs, arrow_state[s_runs]), s_items: pa.array([items.get(d, []) for d in range(n)], arrow_state[s_items]),
+                    s_best: pa.array([list(best[d][:2]) if d in best else [] for d in range(n)], arrow_state[s_best]),
+                    s_best_item: pa.array([best[d][2] if d in best else None for d in range(n)], pa.string()),
                 }
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
                 continue
@@ -225,7 +339,7 @@ def _blocks(spark: SparkSession, bench: DataFrame, window: int, block_bytes: int
     total = items.agg(F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).where("i is not null").toArrow()
+        own = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).where("i is not null").toArrow().sort_by("i")
         yield spark.sparkContext.broadcast(TestBlock(own.column("i").to_pylist(), own.column("x"), window))
 
 
@@ -233,16 +347,17 @@ def _apply(docs: DataFrame, bench: DataFrame, out: list[str], keep_clean: bool,
     blocks = list(_blocks(docs.sparkSession, bench, window, block_bytes))
     need = list(dict.fromkeys([*out, column]))
     now = docs.select(*[F.col(f"`{c}`") for c in need])
+    state = [C.spare(f"state_{name}", need) for name, _ in _STATE]
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        fields = [now.schema[c] for c in need] + [T.StructField(*s) for s in _STATE] if not last else [docs.schema[c] for c in out] + ([] if keep_clean else list(REPORT))
-        now = now.mapInArrow(_scan(block, window, column, out, keep_clean, k > 0, last, share), T.StructType(fields))
+        fields = [now.schema[c] for c in need] + [T.StructField(c, kind) for c, (_, kind) in zip(state, _STATE, strict=True)] if not last else [docs.schema[c] for c in out] + ([] if keep_clean else list(REPORT))
+        now = now.mapInArrow(_scan(block, window, column, out, keep_clean, state, k > 0, last, share), T.StructType(fields))
     return now
 
 
 def contamination(docs: DataFrame, bench: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: the `keep` columns and REPORT. Contaminated: some word is hit and share * n_hit >= n_words."""
-    return _apply(docs, bench, list(keep), False, column, window, share, block_bytes)
+    return _apply(docs, bench, list(C.unclashing(keep, REPORT.names)), False, column, window, share, block_bytes)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, column: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -251,5 +366,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, column: str = "text", windo
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
