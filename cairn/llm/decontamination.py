@@ -13,8 +13,8 @@ compared as 64-bit hashes; those of hits are compared byte by byte too.
 Null or wordless texts have no words, no hits and are never contaminated. Very long texts are a shard of
 their own. Repeated documents are judged each on its own; items with equal text all count, items without an id
 don't. Columns of documents pass through untouched, but not under the names of results, which stand. An
-empty benchmark hits nothing, empty documents give no rows. Of equally long matches the first in the document
-is reported, with the item that is first by its id as a string.
+empty benchmark hits nothing, empty documents give no rows. The longest match is one with a window in it; of
+equally long ones the first in the document is reported, with the item that is first by its id as a string.
 """
 
 from __future__ import annotations
@@ -187,7 +187,9 @@ def search(block: TestBlock, w: np.ndarray, first: np.ndarray, window: int) -> t
 
 
 def longest(block: TestBlock, w: np.ndarray, stop: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of the longest match of each place with any test suffix, the least place of the test items with it)."""
+    """(words of the longest match of each place with any test suffix, the least place of the test items with it); places are hit."""
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums, _, inverse = _sums(w)
     pad, tpad = np.append(w, np.uint64(0)), np.append(block.words, np.uint64(0))
     most_p = stop - p
@@ -280,12 +282,15 @@ def _scan(block_of, window: int, column: str, out: list[str], keep_clean: bool,
                 items[d] = known[key]
             best: dict[int, tuple[int, int, str]] = {}
             if len(p) and not keep_clean:
-                places = np.unique(p)
+                whole = block.deep[t] < window  # windows that are whole items can't be longer
+                places = np.unique(p[~whole])
+                size, where = longest(block, w, first[1:][np.searchsorted(first, places, "right") - 1], places)
+                places, size = np.append(places, p[whole]), np.append(size, block.deep[t[whole]])
+                who = np.append(block.item[where], block.held[block.held_from[t[whole]]])
                 of = np.searchsorted(first, places, "right") - 1
-                size, where = longest(block, w, first[1:][of], places)
-                order = np.lexsort((places, -size, of))
+                order = np.lexsort((who, places, -size, of))
                 for k in order[np.unique(of[order], return_index=True)[1]].tolist():
-                    best[int(of[k])] = (int(size[k]), int(places[k] - first[of[k]]), block.ids[block.item[where[k]]])
+                    best[int(of[k])] = (int(size[k]), int(places[k] - first[of[k]]), block.ids[who[k]])
             if state_in:
                 old = {k: part.column(k).to_pylist() for k in arrow_state}
                 for d in range(n):

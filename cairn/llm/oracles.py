@@ -11,9 +11,15 @@ pos AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS key
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win))),
 hit AS (SELECT doc_id, pos.size, i, item_id FROM pos JOIN win USING (size, key)),
 n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+place AS (SELECT least(13, len(w)) AS size, j, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') AS key, item_id::VARCHAR AS item
+  FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
+run AS (SELECT doc_id, item, size, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item, size, i - j ORDER BY i) AS island FROM pos JOIN place USING (size, key)),
+long AS (SELECT doc_id, item, min(i) - 1 AS at_word, size + count(*) - 1 AS words FROM run GROUP BY doc_id, item, size, diagonal, island),
+top AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, at_word, item) = 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(words, 0)::BIGINT AS longest_words, at_word::BIGINT AS longest_at_word, top.item AS longest_item
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN top USING (doc_id)
 """
 OP9_SUFFIX_DEDUP = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),

@@ -4,12 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import chat, decontamination, html_text, induction, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
+from cairn.llm import chat, common, decontamination, html_text, induction, jaccard, language, packing, quality, secrets, simhash, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import DOCS, prose, rows
 
@@ -46,6 +47,63 @@ def test_decontaminate_keeps_rows_and_columns(spark, docs, texts, bench, empty):
     assert decontamination.contamination(empty, b).count() == 0
 
 
+def test_longest_matches_equal_brute_force(spark):
+    """Against every pair of places, with items that share windows, short items and repeated words."""
+    rng = random.Random(21)
+    words = lambda n: [rng.choice("abcde") for _ in range(n)]
+    bench = [(k, " ".join(words(rng.choice([2, 3, 6, 9])))) for k in range(12)] + [(50, "a " * 9), (51, None)]
+    docs = [(k, " ".join(words(rng.randint(0, 40)) + (bench[rng.randrange(12)][1].split() if k % 2 else []) + words(5))) for k in range(40)]
+    got = {r.doc_id: r for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), window=4).collect()}
+    for i, text in docs:
+        w, best = text.split(), (0, None, None)
+        for item, x in bench:
+            b = (x or "").split()
+            for p in range(len(w)):
+                for t in range(len(b)):
+                    n = 0
+                    while p + n < len(w) and t + n < len(b) and w[p + n] == b[t + n]:
+                        n += 1
+                    if n >= min(4, len(b)):
+                        best = min(best, (n, p, str(item)), key=lambda x: (-x[0], x[1] if x[1] is not None else -1, x[2] or ""))
+        assert (got[i].longest_words, got[i].longest_at_word, got[i].longest_item) == best
+
+
+def test_a_line_of_all_items_in_all_documents(spark):
+    """Places and items are found apart from each other: no row for each pair of them."""
+    line = " ".join(f"w{k}" for k in range(13))
+    bench = [(k, f"{line} only{k}") for k in range(3000)]
+    raw = pa.array([f"{line} " * 3000])
+    block = decontamination.TestBlock([str(k) for k, _ in bench], pa.array([x for _, x in bench]), 13)
+    words = common.Words(*common.text_buffer(raw))
+    p, t = decontamination.search(block, words.hash, words.first, 13)
+    assert len(p) == 3000 and len(set(t.tolist())) == 1
+    got = decontamination.contamination(spark.createDataFrame([(1, raw[0].as_py()), (2, line)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.longest_words) for r in got} == {(1, 39_000, 3000, 13), (2, 13, 3000, 13)}
+
+
+@pytest.mark.parametrize("block_bytes", [decontamination.BLOCK_BYTES, 100])
+def test_contamination_with_clashing_columns(spark, docs, bench, block_bytes):
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    odd = docs.withColumnsRenamed({"lang": "n_words", "source": "state_items", "key": "state_runs", "part": "items_sha256"})
+    got = decontamination.contamination(odd, b, keep=("doc_id", "n_words", "state_items", "state_runs", "doc_id"), block_bytes=block_bytes)
+    assert got.columns == ["doc_id", "state_items", "state_runs", *decontamination.REPORT.names]
+    plain = {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in decontamination.contamination(docs, b).collect()}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in got.collect()} == plain
+    assert decontamination.decontaminate(odd, b, block_bytes=block_bytes).columns == odd.columns
+    assert decontamination.decontaminate(odd, b, block_bytes=block_bytes).count() == decontamination.decontaminate(docs, b).count()
+
+
+def test_words_that_only_share_a_hash_are_no_hit(monkeypatch):
+    """A word with the hash of another is not taken for it."""
+    text = " ".join(f"w{k}" for k in range(15))
+    block = decontamination.TestBlock(["1"], pa.array([text]), 13)
+    raw, offs = common.text_buffer(pa.array([text.replace("w7", "x7"), text]))
+    words = common.Words(raw, offs)
+    words.hash[7] = words.hash[22]
+    w, p, t, hit = decontamination._hits(block, words, raw, 13)
+    assert sorted(p.tolist()) == [15, 16, 17] and hit.tolist() == [False] * 15 + [True] * 15
+
+
 # 2: quality
 
 
