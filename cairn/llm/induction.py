@@ -121,20 +121,6 @@ class ByteQueue:
         self.held, self.runs, self.size = [], [], 0
 
 
-def _least_between(common: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(common[lo:hi]) of each range, by a table of ranges of powers of two."""
-    levels = [common]
-    while 2 << (len(levels) - 1) <= len(common):
-        half, last = 1 << (len(levels) - 1), levels[-1]
-        levels.append(np.minimum(last[:-half], last[half:]))
-    level = (np.frexp((hi - lo).astype(np.float64))[1] - 1).astype(np.int64)
-    out = np.zeros(len(lo), np.uint8)
-    for k in np.unique(level).tolist():
-        own = level == k
-        out[own] = np.minimum(levels[k][lo[own]], levels[k][hi[own] - (1 << k)])
-    return out
-
-
 def induce(blocks: Iterable[tuple[np.ndarray, np.ndarray]], byte_of, queue: ByteQueue) -> None:
     """Put tuples that come in order into the queue of the suffixes one byte longer."""
     since, seen = np.zeros(256, np.uint8), np.zeros(256, bool)  # of each byte: least common prefix since the last tuple with it
@@ -142,11 +128,13 @@ def induce(blocks: Iterable[tuple[np.ndarray, np.ndarray]], byte_of, queue: Byte
         byte = byte_of(who)
         turn = np.argsort(byte, kind="stable")
         s = byte[turn]
-        equal = s[1:] == s[:-1]
         new = np.zeros(len(s), np.uint8)
-        new[1:][equal] = _least_between(common, turn[:-1][equal] + 1, turn[1:][equal] + 1) + 1
-        head = np.flatnonzero(np.concatenate([[True], ~equal]))
+        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         tail = np.append(head[1:], len(s)) - 1
+        for a, b in zip(head.tolist(), tail.tolist(), strict=True):
+            if a < b:  # ranges between neighbours of one byte lie end to end
+                own = turn[a : b + 1]
+                new[a + 1 : b + 1] = np.minimum.reduceat(common[: own[-1] + 1], own[:-1] + 1) + 1
         own = s[head]
         so_far = np.minimum.accumulate(common)
         new[head] = np.where(seen[own], np.minimum(since[own], so_far[turn[head]]) + 1, 0)

@@ -74,14 +74,13 @@ def _anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(raw * power[:n], out=total[1:])
     h = C.mix64((total[SEED:] - total[:-SEED]) * inverse[: n - SEED + 1])
-    least, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(n - SEED + 1, dtype=np.int32)
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - SEED + 1, dtype=np.uint64)
     span = 1
     while span < WIDTH:  # smallest hash of ever wider windows, the leftmost of equal ones
         step = min(span, WIDTH - span)
-        left = least[:-step] <= least[step:]
-        at = np.where(left, at[:-step], at[step:])
-        least = np.where(left, least[:-step], least[step:])
+        least = np.minimum(least[:-step], least[step:])
         span += step
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ok = np.zeros(len(at), bool)
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         if b - a >= LENGTH:
@@ -115,16 +114,18 @@ class _Part:
 
 
 def _seeds(part: _Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchors, their hashes, sorted distinct hashes, in how many texts of the part each of these occurs)."""
+    """(anchors, number of each one's seed, hashes of seeds, in how many texts of the part each seed occurs)."""
     at, h = anchors(part.raw, part.offs)
     own = part.doc(at)
-    pairs = np.lexsort((own, h))
+    pairs = np.argsort(h, kind="stable")  # anchors come by document
     hs, ds = h[pairs], own[pairs]
     new, again = np.ones(len(hs), bool), np.ones(len(hs), bool)
     new[1:] = hs[1:] != hs[:-1]
     again[1:] = new[1:] | (ds[1:] != ds[:-1])
     head = np.flatnonzero(new)
-    return at, h, hs[head], np.add.reduceat(again, head, dtype=np.int64) if len(head) else np.zeros(0, np.int64)
+    seed = np.empty(len(h), np.int64)
+    seed[pairs] = np.cumsum(new) - 1
+    return at, seed, hs[head], np.add.reduceat(again, head, dtype=np.int64) if len(head) else np.zeros(0, np.int64)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -190,21 +191,32 @@ def _hashed(rows: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _cleared(t: np.ndarray) -> np.ndarray:
+    """t, with zeros where the bytes around are of another document or don't count."""
+    odd = np.flatnonzero((t["left"] < EDGE) | (t["right"] < LENGTH))
+    at = np.arange(LENGTH + EDGE)
+    left, right = t["left"][odd, None].astype(np.int64), t["right"][odd, None].astype(np.int64)
+    t["near"][odd] *= (at >= EDGE - left) & (at < EDGE + right)
+    return t
+
+
 def _collapsed(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which tuples go on, bits of those strings that are told): of tuples that agree byte by byte, those of the smallest document go on."""
-    at = np.arange(LENGTH + EDGE)
-    seen = np.where((at >= EDGE - t["left"][:, None].astype(np.int64)) & (at < EDGE + t["right"][:, None].astype(np.int64)), t["near"], 0)
-    all_ = np.concatenate([seen, t["left"][:, None], t["right"][:, None]], axis=1)
-    h = _hashed(all_)
+    h = C.mix64(_hashed(t["near"]) + (t["left"].astype(np.uint64) << np.uint64(8)) + t["right"])
     turn = np.lexsort((t["doc"], h))
     head = np.ones(len(turn), bool)
-    head[1:] = (h[turn[1:]] != h[turn[:-1]]) | (all_[turn[1:]] != all_[turn[:-1]]).any(1)
+    head[1:] = h[turn[1:]] != h[turn[:-1]]
+    like = np.flatnonzero(~head)
+    a, b = t[turn[like]], t[turn[like - 1]]
+    head[like] = (a["near"] != b["near"]).any(1) | (a["left"] != b["left"]) | (a["right"] != b["right"])
     least = t["doc"][turn][np.maximum.accumulate(np.where(head, np.arange(len(turn)), 0))]
     told = np.zeros(len(turn), bool)
     told[turn] = t["doc"][turn] > least
-    j = np.arange(WIDTH)
-    bits = (t["left"][:, None] >= j) & (t["right"][:, None] >= LENGTH - j) & told[:, None]
-    return ~told, (bits.astype(np.uint32) << j.astype(np.uint32)).sum(1, dtype=np.uint32)
+    bits, own = np.zeros(len(turn), np.uint32), np.flatnonzero(told)
+    for j in range(WIDTH):
+        ok = (t["left"][own] >= j) & (t["right"][own] >= LENGTH - j)
+        bits[own[ok]] |= np.uint32(1 << j)
+    return ~told, bits
 
 
 def _send_suffixes(seed_shards: int, shards: int):
@@ -215,12 +227,12 @@ def _send_suffixes(seed_shards: int, shards: int):
         if not texts.num_rows or not flags.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         part = _Part(texts)
-        at, h, keys, _ = _seeds(part)
+        at, seed, keys, _ = _seeds(part)
         flag = np.zeros(len(keys), np.uint8)
         got = dict(zip(flags.column("shard").to_pylist(), flags.column("flags").to_pylist(), strict=True))
         for s, own in _by_shard((keys % np.uint64(seed_shards)).astype(np.int64)):
             flag[own] = _opened(got[s], "u1")
-        of = flag[np.searchsorted(keys, h)] if len(keys) else flag
+        of = flag[seed]
         far = np.concatenate([np.zeros(EDGE, np.uint8), part.raw, np.zeros(LENGTH, np.uint8)])
 
         def tuples(own: np.ndarray) -> np.ndarray:
@@ -228,15 +240,16 @@ def _send_suffixes(seed_shards: int, shards: int):
             d = part.doc(own)
             t["part"], t["at"], t["doc"] = part.number, own, part.first[d]
             t["left"], t["right"] = np.minimum(own - part.offs[d], EDGE), np.minimum(part.offs[d + 1] - own, LENGTH)
-            t["near"] = far[own[:, None] + np.arange(EDGE + LENGTH)]
-            return t
+            t["near"] = np.lib.stride_tricks.sliding_window_view(far, EDGE + LENGTH)[own]
+            return _cleared(t)
 
-        made = [(tuples(at[of == 1]), (h[of == 1] % np.uint64(shards)).astype(np.int64))]
+        made = [(tuples(at[of == 1]), (keys[seed[of == 1]] % np.uint64(shards)).astype(np.int64))]
         if (of == 2).any():
             hot = tuples(at[of == 2])
             for a, b in _CLASSES:
                 t = hot[(hot["left"] >= a) & (hot["right"] >= LENGTH - b)]
                 t["left"], t["right"] = np.minimum(t["left"], b), np.minimum(t["right"], LENGTH - a)
+                t = _cleared(t)
                 made.append((t, (_hashed(t["near"][:, EDGE - a : EDGE + LENGTH - b]) % np.uint64(shards)).astype(np.int64)))
         rows = []
         for t, shard in made:
@@ -282,14 +295,14 @@ def _sort_suffixes(place: str, budget: int):
 
 
 def _removed(part: _Part, masks: pa.Table) -> np.ndarray:
-    edge = np.zeros(len(part.raw) + LENGTH + 1, np.int32)
+    starts = np.zeros(len(part.raw) + LENGTH, bool)
     for at, mask in zip(masks.column("at").to_pylist(), masks.column("mask").to_pylist(), strict=True):
         at, mask = _opened(at, "<u4"), _opened(mask, "<u4")
         for j in range(WIDTH):
-            start = at[(mask >> np.uint32(j)) & np.uint32(1) != 0].astype(np.int64) - j
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + LENGTH, -1)
-    return np.cumsum(edge)[: len(part.raw)] > 0
+            starts[at[(mask >> np.uint32(j)) & np.uint32(1) != 0].astype(np.int64) - j] = True
+    edge = starts.astype(np.int8)
+    edge[LENGTH:] -= starts[:-LENGTH]
+    return np.cumsum(edge, dtype=np.int32)[: len(part.raw)] > 0
 
 
 _CUT = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n_cut", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("sha", T.StringType())])
