@@ -651,6 +651,60 @@ def test_one_of_each(spark, docs, texts):
     assert sorted(r.doc_id for r in jaccard.one_of_each(twice).collect()) == sorted(want)
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Rows of one doc_id are judged by their texts, null ids last; repeats of a row that stays go, wordless rows stay."""
+    a, b, c = prose(random.Random(1), 30), prose(random.Random(2), 30), prose(random.Random(3), 30)
+    made = [(1, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (7, None), (7, ""), (7, ""), (8, a + " !")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(made)], "doc_id long, text string, digest int").withColumnRenamed("digest", "id")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (5, b), (None, c), (7, None), (7, ""), (7, "")], key=repr)
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def near_sets(rng, n):
+    words = np.array([rng.getrandbits(63) for _ in range(400)], np.uint64)
+    return [np.unique(np.append(words[: 100 + 20 * rng.randint(0, 14)], [rng.getrandbits(63) for _ in range(rng.randint(0, 60))]).astype(np.uint64)) for _ in range(n)]
+
+
+def test_pairs_are_pruned_one_by_one():
+    rng = random.Random(4)
+    sig = jaccard.minhash(near_sets(rng, 60))
+    i, j = np.triu_indices(60, 1)
+    same = sig[i] == sig[j]
+    want = np.flatnonzero(np.all([same[:, :n].sum(1) >= m for n, m in jaccard.least_matches().items()], axis=0))
+    assert jaccard.may_reach(sig, sig, i, j).tolist() == want.tolist() and 0 < len(want) < len(i)
+
+
+@pytest.mark.parametrize("size", [2, 5, 16, 17, 60])
+def test_forests_connect_what_may_reach(size):
+    import pyarrow as pa
+
+    def components(n, edges):
+        root = list(range(n))
+        find = lambda k: k if root[k] == k else find(root[k])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return [find(k) for k in range(n)]
+
+    rng = random.Random(size)
+    rows, want = [], []
+    for band in range(30):
+        sig, two = jaccard.minhash(near_sets(rng, size)), band % 3 == 0
+        side = [rng.randint(0, 1) if two else 0 for _ in range(size)]
+        i, j = np.triu_indices(size, 1)
+        ok = [k for k in jaccard.may_reach(sig, sig, i, j).tolist() if not two or side[i[k]] != side[j[k]]]
+        want += [(band * 100 + int(i[k]), band * 100 + int(j[k])) for k in ok]
+        rows += [(band, 0, int(two), side[k], band * 100 + k, sig[k].tobytes()) for k in range(size)]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    t = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["band", "i", "j", "side", "node", "sig"])
+    for chunk in (7, 10_000):
+        got = [e for b in jaccard._compared(iter(t.to_batches(chunk))) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+        a, b = components(3000, got), components(3000, want)
+        assert len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+        assert size <= jaccard.FEW or len(got) < 30 * size
+
+
 def test_pruning_keeps_what_may_reach():
     least = jaccard.least_matches()
     assert list(least) == list(range(16, 129, 16)) and all(a <= b for a, b in zip(least.values(), list(least.values())[1:]))
