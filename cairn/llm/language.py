@@ -6,10 +6,12 @@ The AND of the words at its positions is the set of languages that contain the n
 popcount per language, corrected for the filter's false positives, decides.
 
 Learnt from a bounded, hash-chosen sample of `Spec.docs_per_language` documents per non-null language that
-aren't held out; an n-gram enters a language's filter if enough of that language's documents have it and
-it is not much more frequent elsewhere. Null texts and texts without a letter are `und` with score 0, as is
-every text if nothing could be learnt. Ties go to the first language in order. Repeated rows are judged
-each on its own.
+aren't held out, of the `Spec.max_languages` languages with most documents. An n-gram enters a language's filter if
+`Spec.min_docs` of its sampled documents have it (all of them, if a language has fewer) and it is not much
+more frequent elsewhere. Null texts and texts without a letter are `und` with score 0, as is every text if
+nothing could be learnt. Ties go to the first language in order. Very long texts count with all their n-grams.
+Repeated rows are judged each on its own; an empty table gives no rows. Extra columns pass through, but not under
+the names of results, which stand.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from cairn.llm import common as C
 
 @dataclass(frozen=True)
 class Spec:
-    """docs_per_language bounds what is learnt from; bits: log2 of the table's words."""
+    """docs_per_language and max_languages bound what is learnt from; bits: log2 of the table's words."""
 
     docs_per_language: int = 600
+    max_languages: int = 1024
     sizes: tuple[int, ...] = (3, 5)
     bits: int = 20
     probes: int = 2
@@ -109,11 +112,12 @@ class Filters:
 def train(docs: DataFrame, spec: Spec = Spec()) -> Filters:
     """Filters from documents with a language that aren't held out. What reaches the driver is bounded by spec."""
     known = docs.select(F.col("doc_id").alias("i"), F.col("lang").cast("string").alias("l"), F.col("text").alias("x")).where("l is not null and x is not null").where(~C.held_out("i"))
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(spec.max_languages).collect()}
     if not counts:
         return Filters([], spec)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, spec.docs_per_language / n) * (1 << 30)))])
-    sample = known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < share[F.col("l")])
+    least = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(spec.min_docs, n))])
+    sample = known.where(F.pmod(F.xxhash64("i", "x"), F.lit(1 << 30)) < share[F.col("l")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in C.slices(batches, "x", max_rows=DOC_BITS + 1):
@@ -127,7 +131,7 @@ def train(docs: DataFrame, spec: Spec = Spec()) -> Filters:
                     g, n = np.unique(keys[lang == c] & ~np.uint64(DOC_BITS), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["l", "g", "n"])
 
-    got = sample.mapInArrow(run, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= spec.min_docs).toArrow()
+    got = sample.mapInArrow(run, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("l")]).toArrow()
     langs = sorted(counts)
     out = Filters(langs, spec)
     index = {name: k for k, name in enumerate(langs)}
@@ -158,12 +162,14 @@ def has_letter(text: str | None) -> bool:
 
 def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """The `keep` columns, lang_pred and score (share of the decided language in all languages' counts)."""
+    keep = C.unclashing(keep, ("lang_pred", "score"))
+    x = C.spare("text", keep)
     bc = docs.sparkSession.sparkContext.broadcast(filters)  # its size follows from bits and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bc.value
-        for part, _, _ in C.slices(batches, "x__text"):
-            col = part.column("x__text")
+        for part, _, _ in C.slices(batches, x):
+            col = part.column(x)
             raw, offs = C.text_buffer(pc.utf8_lower(col))
             n = part.num_rows
             if f.langs:
@@ -172,11 +178,11 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
                 score = np.clip(got[np.arange(n), best] / np.maximum(got.sum(1), 1e-9), 0, 1)
             else:
                 best, score = np.zeros(n, np.int64), np.zeros(n)
-            ok = np.array([bool(f.langs) and has_letter(x) for x in col.to_pylist()], bool)
+            ok = np.array([bool(f.langs) and has_letter(t) for t in col.to_pylist()], bool)
             pred = [f.langs[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    took = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("x__text"))
+    took = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(x))
     return took.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

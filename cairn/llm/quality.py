@@ -5,9 +5,11 @@ driver from per-bin gradient histograms of a bounded sample of labelled rows (`S
 complete binary trees, flattened into arrays (feature, threshold, leaf), and are walked for all rows of a
 slice at once. Only the text enters a score.
 
-Null and empty texts have all-zero statistics and get a score like any other. Labels with null quality or
-id are not learnt from; a document with several labels counts once for each. Without labels to learn from,
-every score is 0.5. Extra columns pass through.
+Null and empty texts have all-zero statistics and get a score like any other, very long ones are read whole.
+Labels with null quality or id are not learnt from. A doc_id with several labels counts once, with their mean; one
+with several texts counts with one of them. Without labels to learn from, every score is 0.5. Repeated rows are
+scored each on its own; an empty table gives no rows. Extra columns pass through, but not under the name
+of the result, which stands.
 """
 
 from __future__ import annotations
@@ -164,10 +166,11 @@ def fit(x: np.ndarray, y: np.ndarray, spec: Spec) -> Trees:
 
 def train(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Trees:
     """Fit on labelled documents that aren't held out; at most about spec.max_rows of them reach the driver."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("double").alias("y")).where("i is not null and y is not null").where(~C.held_out("i"))
+    known = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("double").alias("y")).where("i is not null and y is not null").where(~C.held_out("i")).groupBy("i").agg(F.avg("y").alias("y"))
     n = known.count()
     keep = min(1.0, spec.max_rows / max(n, 1))
     sample = known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(keep * (1 << 30)))
+    # a row for each id: spec.max_rows of them, but for the chance of the hash
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("x")).join(F.broadcast(sample), "i")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Trees:
             x = statistics(raw, offs).astype(np.float64)
             yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "y", "f"])
 
-    got = texts.mapInArrow(rows, T.StructType([T.StructField("i", docs.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("f", T.ArrayType(T.DoubleType()))])).toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
+    got = texts.mapInArrow(rows, T.StructType([T.StructField("i", docs.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("f", T.ArrayType(T.DoubleType()))])).groupBy("i", "y").agg(F.min("f").alias("f")).toArrow().sort_by("i")
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), spec)
     return fit(np.array(got.column("f").to_pylist()), np.asarray(got.column("y")), spec)
@@ -197,6 +200,7 @@ def _scored(model, column: str, keep: list[str], threshold: float | None):
 def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """The `keep` columns and score (probability of label 1) of every document."""
     bc = docs.sparkSession.sparkContext.broadcast(model)  # of a size that the spec fixes
+    keep = C.unclashing(keep, ("score",))
     need = list(dict.fromkeys([*keep, column]))
     return docs.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(_scored(bc, column, list(keep), None), T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
 

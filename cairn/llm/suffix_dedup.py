@@ -39,7 +39,7 @@ SEED = 20
 #: Places of an anchor in a window.
 WIDTH = LENGTH - SEED + 1
 #: Bytes of text of a part, of a shard of suffixes, and of a shard of seeds, on average.
-PART_BYTES, SHARD_BYTES, SEED_BYTES = 16 << 20, 32 << 20, 128 << 20
+PART_BYTES, SHARD_BYTES, SEED_BYTES = 8 << 20, 32 << 20, 128 << 20
 #: Bytes of suffix tuples that a shard keeps in memory; what is over goes to disk.
 QUEUE_BYTES = 96 << 20
 #: Texts that hold a seed, from which on it is dealt out by its windows.
