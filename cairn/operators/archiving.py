@@ -30,7 +30,7 @@ def pack(files: DataFrame, profile: str = "balanced", small: int = M.SMALL_FILE,
 
     Files over `small` bytes are cut by content; smaller ones share solid blocks, text apart from other data.
     spread: depth of the folders that small files are also kept apart by; 0 packs them in one sequence per
-    kind, deeper ones in parallel. share_small: small files with equal bytes share the first one's place
+    kind. share_small: small files with equal bytes share the first one's place
     instead of being packed again. Blocks are distinct before the codec runs; chunks of zeros have none.
     Links become entries if `links`, else they are skipped, as are special files.
     """
@@ -42,15 +42,17 @@ def pack(files: DataFrame, profile: str = "balanced", small: int = M.SMALL_FILE,
     first = K.first_occurrence(chunks.select("block_id", "path", *order, "offset", "length"), [*order, "path", "offset", "length"])
     wanted = first.groupBy("path").agg(F.collect_list(F.struct("block_id", "offset", "length", "chunk_no")).alias("w"))
     large = regular.join(wanted, "path").select(ORDER, "content", F.explode("w").alias("w")).select(F.col("w.block_id").alias("block_id"), F.col(ORDER), F.col("w.chunk_no").alias("chunk_no"), F.substring(F.col("content"), (F.col("w.offset") + 1).cast("int"), F.col("w.length").cast("int")).alias("content"))
-    members = regular.where(F.col("size") <= small).select("path", ORDER, "size", "content", F.when(B.looks_like_text(F.col("content")), "text").otherwise("binary").alias("kind"), F.array_join(F.slice(F.split("path", "/"), 1, spread), "/").alias("shard"))
+    members = regular.where(F.col("size") <= small).select("path", ORDER, "size", F.when(B.looks_like_text(F.col("content")), "text").otherwise("binary").alias("kind"), F.array_join(F.slice(F.split("path", "/"), 1, spread), "/").alias("shard"))
     every = None
     if share_small:
-        every = members.select("path", F.sha2("content", 256).alias("digest"))
-        firsts = members.withColumn("digest", F.sha2("content", 256)).groupBy("digest").agg(F.min(F.struct(ORDER, "path")).alias("m")).select("digest", F.col("m.path").alias("path"))
+        every = regular.where(F.col("size") <= small).select("path", ORDER, F.sha2("content", 256).alias("digest"))
+        firsts = every.groupBy("digest").agg(F.min(F.struct(ORDER, "path")).alias("m")).select("digest", F.col("m.path").alias("path"))
+        every = every.drop(ORDER)
         members = members.join(firsts.select("path"), "path", "left_semi")
     placed = S.solid_pack(members, ["kind", "shard"], [ORDER], "size", solid_limit)
-    whole = S.concatenated(placed.select("kind", "shard", "block", "offset", "content"), ["kind", "shard", "block"]).withColumn("is_zero", B.is_zero(F.col("content"))).withColumn("block_id", F.sha2("content", 256))
-    small_seg = placed.drop("content").join(whole.drop("content"), ["kind", "shard", "block"]).select("path", F.lit(0).alias("seq"), F.when(~F.col("is_zero"), F.struct(F.col("block_id").alias("block"), "offset", F.col("size").alias("length"), F.lit(None).cast("long").alias("zero"))).otherwise(F.struct(F.lit(None).cast("string").alias("block"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), F.col("size").alias("zero"))).alias("s"))
+    held = placed.select("path", "kind", "shard", "block", "offset").join(regular.select("path", "content"), "path").drop("path")
+    whole = S.concatenated(held, ["kind", "shard", "block"]).withColumn("is_zero", B.is_zero(F.col("content"))).withColumn("block_id", F.sha2("content", 256))
+    small_seg = placed.join(whole.drop("content"), ["kind", "shard", "block"]).select("path", F.lit(0).alias("seq"), F.when(~F.col("is_zero"), F.struct(F.col("block_id").alias("block"), "offset", F.col("size").alias("length"), F.lit(None).cast("long").alias("zero"))).otherwise(F.struct(F.lit(None).cast("string").alias("block"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), F.col("size").alias("zero"))).alias("s"))
     if every is not None:
         shared = small_seg.join(firsts, "path").select("digest", "seq", "s")
         small_seg = every.join(shared, "digest").select("path", "seq", "s")

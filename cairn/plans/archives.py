@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cairn import model as M
 from cairn.operators import archiving as A
 from cairn.operators import codecs as D
 from cairn.operators import constraints as C
 from cairn.plans import vfs as V
 from cairn.plans.registry import query
-from cairn.plans.relations import _LINKS, conflicting
+from cairn.plans.relations import _LINKS, _cdc_sql, conflicting
+from cairn.plans.scans import _ADVICE as ADVICE
 from cairn.plans.scans import CATEGORY, EXT, NAMED, named
 from cairn.streaming import dedup as T
 
@@ -24,12 +26,14 @@ def files(spark, sf):
     return d.select("path", F.lit("file").alias("type"), F.col("text").cast("binary").alias("content"), "size", *[F.lit(None).cast(t).alias(c) for c, t in _META])
 
 
-@query("k1_pack_entries", f"WITH {V.DOCS} SELECT path, size, CASE WHEN size > 0 THEN 1 ELSE 0 END::INTEGER AS segments, size AS held FROM docs")
+_CUT = _cdc_sql(f"{V.DOCS}, s AS (SELECT doc_id AS k, text AS t FROM docs WHERE size > {M.CHUNK_MIN})", M.CHUNK_MIN, M.CHUNK_MAX, M.CHUNK_MASK_BITS)
+
+
+@query("k1_pack_entries", f"WITH {V.DOCS}, cut AS ({_CUT}), n AS (SELECT k, count(*) AS n FROM cut GROUP BY k) SELECT path, size, CASE WHEN size = 0 THEN 0 ELSE coalesce(n, 1) END::INTEGER AS segments, size AS held FROM docs LEFT JOIN n ON k = doc_id")
 def k1_pack_entries(spark, sf):
-    # with the format's own limits, every document under 64 KiB is one chunk or one member; larger ones are left to the tests
-    entries, _ = A.pack(files(spark, sf), "store", spread=2)
+    entries, _ = A.pack(files(spark, sf))
     held = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.coalesce(s["zero"], s["length"]))
-    return entries.select("path", "size", F.least(F.size("segments"), F.lit(1)).alias("segments"), held.alias("held"))
+    return entries.select("path", "size", F.size("segments").alias("segments"), held.alias("held"))
 
 
 @query("k5_unpack", f"WITH {V.DOCS} SELECT path, sha256(text) AS sha256 FROM docs WHERE size > 0")
@@ -56,18 +60,18 @@ def x32_probe(spark, sf):
     return V.docs(spark, sf).select("doc_id", D.probed(F.col("text").cast("binary")).alias("ratio"))
 
 
-@query("x33_codecs", f"WITH {V.DOCS} SELECT doc_id, sha256(text) AS sha256 FROM docs")
+@query("x33_codecs", f"WITH {V.DOCS} SELECT doc_id, m::TINYINT AS method, sha256(text) AS sha256 FROM docs CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 6]) AS m)")
 def x33_codecs(spark, sf):
+    """Every document under every codec, and back."""
     d = V.docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content"))
-    profiles = [D.encode_blocks(d.where(F.col("doc_id") % 3 == k), p) for k, p in enumerate(("fast", "balanced", "store"))]
-    every = profiles[0].unionByName(profiles[1]).unionByName(profiles[2])
-    return every.select("doc_id", F.sha2(D.decoded(F.col("method"), F.col("payload"), F.col("raw_size"))["content"], 256).alias("sha256"))
+    every = D.encode_as(d, (D.RAW, D.ZLIB, D.BZ2, D.LZMA, D.ZSTD, D.XZ))
+    return every.select("doc_id", "method", F.sha2(D.decoded(F.col("method"), F.col("payload"), F.col("raw_size"))["content"], 256).alias("sha256"))
 
 
-@query("c1_profiles", f"WITH {V.BLOBS} SELECT doc_id, CASE WHEN doc_id % 13 IN (0, 2, 3, 7) THEN 0 END::TINYINT AS method FROM blobs WHERE doc_id % 13 IN (0, 2, 3, 7)")
+@query("c1_profiles")
 def c1_profiles(spark, sf):
-    b = V.blobs(spark, sf).where("doc_id % 13 in (0, 2, 3, 7)").select("doc_id", F.col("b").alias("content"))
-    return D.encode_blocks(b, "balanced").select("doc_id", "method")
+    """Every blob under the balanced profile: what looks compressed, or would not get smaller, stays raw."""
+    return D.encode_blocks(V.blobs(spark, sf).select("doc_id", F.col("b").alias("content")), "balanced").select("doc_id", "method", "raw_size", "stored_size")
 
 
 @query("c2_adaptive")
@@ -76,10 +80,24 @@ def c2_adaptive(spark, sf):
     return D.encode_blocks(d, adaptive="auto").groupBy("method").agg(F.count("*").alias("blocks"), F.sum("raw_size").alias("raw_bytes"), F.sum("stored_size").alias("stored_bytes"))
 
 
-@query("a9_analyze", f"WITH {V.DOCS}, {NAMED}, e AS (SELECT size, {EXT} AS ext FROM named) SELECT {CATEGORY} AS category, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM e GROUP BY 1")
-def a9_analyze(spark, sf):
+#: Bounds of the sample in the two queries, so small that both are met.
+_EACH, _ALL = 2000, 1_000_000
+
+
+def _analyzed(spark, sf):
     f = named(spark, sf).join(V.docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), F.lit("file").alias("type"), "size", "content")
-    return A.analyze(f).select("category", "files", "bytes")
+    return A.analyze(f, _EACH, _ALL)
+
+
+@query("a9_analyze", f"WITH {V.DOCS}, {NAMED}, e AS (SELECT *, {EXT} AS ext, least(size, {_EACH}) AS want, replace(doc_id || '/' || path, '/', chr(0)) AS walk FROM named), r AS (SELECT {CATEGORY} AS category, size, want, sum(want) OVER (ORDER BY walk ROWS UNBOUNDED PRECEDING) AS upto FROM e), g AS (SELECT category, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes, sum(greatest(0, least(want, {_ALL} - (upto - want))))::BIGINT AS sampled FROM r GROUP BY 1) SELECT *, 100.0::DOUBLE * bytes / (sum(bytes) OVER ())::DOUBLE AS share FROM g")
+def a9_analyze(spark, sf):
+    return _analyzed(spark, sf).select("category", "files", "bytes", "sampled", "share")
+
+
+@query("a9_ratio")
+def a9_ratio(spark, sf):
+    """The capped sample's compressed share and the advice that follows from it."""
+    return _analyzed(spark, sf).select("category", "ratio", F.expr(ADVICE.replace("p ", "ratio ")).alias("advice"))
 
 
 @query("r12_collisions", f"WITH {V.ODD} SELECT 'R12' AS rule, lower(rtrim(path, '/')) AS subject, count(*)::VARCHAR AS detail FROM odd GROUP BY 2 HAVING count(*) > 1")

@@ -10,7 +10,8 @@ from cairn.operators import blocks as K
 from cairn.operators import chunking as G
 from cairn.operators import constraints as C
 from cairn.operators import solid as S
-from cairn.operators.order import pinned, running_sum, with_next
+from cairn.operators.digests import corpus_digest
+from cairn.operators.order import pinned, ranked, running_sum, with_next
 from cairn.plans import vfs as V
 from cairn.plans.registry import query
 from cairn.plans.scans import INODES, NAMED, CATEGORY, EXT, inodes, named
@@ -121,12 +122,16 @@ def j11_roundtrip_diff(spark, sf):
     return x.join(y, "path", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("path", F.col("before").isNull().alias("only_after"), F.col("after").isNull().alias("only_before"))
 
 
-@query("j12_positional", f"WITH {V.CHUNKS}, a AS (SELECT path, list(block_id ORDER BY chunk_no) AS names FROM chunks GROUP BY path) SELECT path, unnest(range(len(names))) AS place, unnest(names) AS name FROM a")
+@query("j12_positional", f"WITH {V.CHUNKS}, n AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY chunk_no) - 1 AS place, CASE WHEN doc_id % 53 = 7 THEN reverse(block_id) ELSE block_id END AS name, block_id FROM chunks) SELECT path, place, name, CASE WHEN name = block_id THEN 'ok' ELSE 'differs' END AS status FROM n")
 def j12_positional(spark, sf):
-    held = V.chunks(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "block_id"))).alias("a"))
-    names = held.select("path", F.posexplode("a.block_id").alias("place", "name"))
-    status = held.select("path", F.posexplode("a.chunk_no").alias("place", "chunk_no"))
-    return names.join(status, ["path", "place"]).where("place = chunk_no").select("path", F.col("place").cast("long").alias("place"), "name")
+    # names as an index holds them, a list for each path, against what is read from the contents, place by place
+    broken = F.when(F.col("doc_id") % 53 == 7, F.reverse("block_id")).otherwise(F.col("block_id"))
+    listed = V.chunks(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_no", broken.alias("name")))).alias("a"))
+    names = listed.select("path", F.posexplode("a.name").alias("place", "name"))
+    d = V.docs(spark, sf).select("path", F.col("text").cast("binary").alias("content"))
+    found = G.fixed_chunks(d, V.PIECE).select("path", F.col("chunk_no").alias("place"), F.sha2("chunk", 256).alias("digest"))
+    both = names.join(found, ["path", "place"])
+    return both.select("path", F.col("place").cast("long").alias("place"), "name", F.when(F.col("name") == F.col("digest"), "ok").otherwise("differs").alias("status"))
 
 
 @query("j16_method_names", f"WITH {SEG}, n AS (SELECT unnest(range(7))::TINYINT AS method, unnest(['raw', 'zlib', 'bz2', 'lzma', 'zstd', 'zero', 'xz']) AS name) SELECT name, count(*)::BIGINT AS blocks FROM blocks JOIN n USING (method) GROUP BY name")
@@ -206,12 +211,9 @@ def a12_peak(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("value").alias("peak"))
 
 
-@query("a13_corpus_digest", f"WITH {V.DOCS}, h AS (SELECT lang, doc_id // 500 AS part, path, sha256(text) AS h FROM docs) SELECT lang, part, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path)) AS digest FROM h GROUP BY lang, part")
+@query("a13_corpus_digest", f"WITH {V.DOCS} SELECT sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path)) AS digest, count(*)::BIGINT AS files FROM docs")
 def a13_corpus_digest(spark, sf):
-    # digests of at most 500 documents each: no task gathers a whole corpus
-    h = V.docs(spark, sf).select("lang", F.expr("doc_id div 500").alias("part"), "path", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat_ws(":", x["path"], x["h"]))
-    return h.groupBy("lang", "part").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    return corpus_digest(V.docs(spark, sf).select("path", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
 
 
 @query("a14_distinct", f"WITH {V.CHUNKS} SELECT lang, count(DISTINCT block_id)::BIGINT AS blocks, count(DISTINCT path)::BIGINT AS paths FROM chunks GROUP BY lang")
@@ -241,28 +243,28 @@ def a18_control_count(spark, sf):
     return V.docs(spark, sf).select("doc_id", F.regexp_count("text", F.lit(r"[\x00-\x1f]")).alias("n"))
 
 
-SMALL = f"{V.DOCS}, small AS (SELECT lang, doc_id // 1000 AS shard, doc_id, path, size, text FROM docs WHERE size <= 4096)"
+SMALL = f"{V.DOCS}, small AS (SELECT lang, doc_id, path, size, text FROM docs WHERE size <= 4096)"
 PACK_LIMIT = 32768
-_PACKED = f"""WITH RECURSIVE {SMALL}, o AS (SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY doc_id) AS rn FROM small),
-p AS (SELECT lang, shard, doc_id, text, size, rn, 0::BIGINT AS block, 0::BIGINT AS "offset", size AS n FROM o WHERE rn = 1
- UNION ALL SELECT o.lang, o.shard, o.doc_id, o.text, o.size, o.rn, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN p.block + 1 ELSE p.block END, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN 0 ELSE p.n END,
-  CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN o.size ELSE p.n + o.size END FROM p JOIN o ON o.lang = p.lang AND o.shard = p.shard AND o.rn = p.rn + 1)"""
+_PACKED = f"""WITH RECURSIVE {SMALL}, o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM small),
+p AS (SELECT lang, doc_id, text, size, rn, 0::BIGINT AS block, 0::BIGINT AS "offset", size AS n FROM o WHERE rn = 1
+ UNION ALL SELECT o.lang, o.doc_id, o.text, o.size, o.rn, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN p.block + 1 ELSE p.block END, CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN 0 ELSE p.n END,
+  CASE WHEN p.n + o.size > {PACK_LIMIT} OR p.n >= {PACK_LIMIT} THEN o.size ELSE p.n + o.size END FROM p JOIN o ON o.lang = p.lang AND o.rn = p.rn + 1)"""
 
 
-def packed(spark, sf, *more):
-    small = V.docs(spark, sf).where("size <= 4096").select("lang", F.expr("doc_id div 1000").alias("shard"), "doc_id", "size", *more)
-    return S.solid_pack(small, ["lang", "shard"], ["doc_id"], "size", PACK_LIMIT)
+def packed(spark, sf):
+    return S.solid_pack(V.docs(spark, sf).where("size <= 4096").select("lang", "doc_id", "size"), ["lang"], ["doc_id"], "size", PACK_LIMIT)
 
 
-@query("w8_solid_pack", f"{_PACKED} SELECT lang, shard, doc_id, block, \"offset\" FROM p")
+@query("w8_solid_pack", f"{_PACKED} SELECT lang, doc_id, block, \"offset\" FROM p")
 def w8_solid_pack(spark, sf):
-    return packed(spark, sf).select("lang", "shard", "doc_id", "block", "offset")
+    return packed(spark, sf).select("lang", "doc_id", "block", "offset")
 
 
-@query("a19_solid_blocks", f"{_PACKED} SELECT lang, shard, block, sha256(string_agg(text, '' ORDER BY \"offset\")) AS block_id FROM p GROUP BY lang, shard, block")
+@query("a19_solid_blocks", f"{_PACKED} SELECT lang, block, sha256(string_agg(text, '' ORDER BY \"offset\", doc_id)) AS block_id FROM p GROUP BY lang, block")
 def a19_solid_blocks(spark, sf):
-    members = packed(spark, sf, F.col("text").cast("binary").alias("content"))
-    return S.concatenated(members, ["lang", "shard", "block"]).select("lang", "shard", "block", F.sha2("content", 256).alias("block_id"))
+    content = V.docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content"))
+    members = packed(spark, sf).select("lang", "doc_id", "block", "offset").join(content, "doc_id")
+    return S.concatenated(members, ["lang", "block"]).select("lang", "block", F.sha2("content", 256).alias("block_id"))
 
 
 @query("a20_file_stats", f"WITH {V.TREE} SELECT string_split(path, '/')[1] AS top, sum(size)::BIGINT AS input_bytes, count(*)::BIGINT AS input_files FROM tree GROUP BY 1")
@@ -303,33 +305,34 @@ def w9_share(spark, sf):
     return g.crossJoin(F.broadcast(g.agg(F.sum("bytes").alias("total"))))  # one row
 
 
-@query("o1_tree_sort", f"WITH {V.DOCS} SELECT path FROM docs ORDER BY string_split(path, '/')")
+@query("o1_tree_sort", f"WITH {V.DOCS} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM docs")
 def o1_tree_sort(spark, sf):
-    return V.docs(spark, sf).orderBy(F.split("path", "/")).select("path")
+    return ranked(V.docs(spark, sf).select("path"), [F.split("path", "/")])
 
 
-@query("o3_key_sort", f"WITH {V.DOCS} SELECT lower(path) AS key FROM docs ORDER BY 1")
+@query("o3_key_sort", f"WITH {V.DOCS} SELECT lower(path) AS key, row_number() OVER (ORDER BY lower(path)) AS place FROM docs")
 def o3_key_sort(spark, sf):
-    return V.docs(spark, sf).select(P.path_key(F.col("path")).alias("key")).orderBy("key")
+    return ranked(V.docs(spark, sf).select(P.path_key(F.col("path")).alias("key")), [F.col("key")])
 
 
-@query("o4_method_sort", f"WITH {SEG} SELECT method, count(*)::BIGINT AS n FROM blocks GROUP BY method ORDER BY method")
+@query("o4_method_sort", f"WITH {SEG} SELECT method, count(*)::BIGINT AS n, row_number() OVER (ORDER BY method) AS place FROM blocks GROUP BY method")
 def o4_method_sort(spark, sf):
-    return block_index(spark, sf).groupBy("method").agg(F.count("*").alias("n")).orderBy("method")
+    return ranked(block_index(spark, sf).groupBy("method").agg(F.count("*").alias("n")), [F.col("method")])
 
 
-@query("o5_deepest_first", f"WITH {V.TREE} SELECT DISTINCT array_to_string(string_split(path, '/')[1:-2], '/') AS dir FROM tree ORDER BY 1 DESC")
+@query("o5_deepest_first", f"WITH {V.TREE}, d AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:-2], '/') AS dir FROM tree) SELECT dir, row_number() OVER (ORDER BY dir DESC) AS place FROM d")
 def o5_deepest_first(spark, sf):
-    return V.tree(spark, sf).select(P.parent(F.col("path")).alias("dir")).distinct().orderBy(F.desc("dir"))
+    return ranked(V.tree(spark, sf).select(P.parent(F.col("path")).alias("dir")).distinct(), [F.desc("dir")])
 
 
 _PHASE = "CASE doc_id % 4 WHEN 0 THEN 'directory' WHEN 1 THEN 'symlink' WHEN 2 THEN 'hardlink' ELSE 'file' END"
 
 
-@query("o6_phase_order", f"WITH {V.DOCS}, t AS (SELECT doc_id, {_PHASE} AS type FROM docs) SELECT doc_id, type, CASE type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 WHEN 'hardlink' THEN 2 ELSE 3 END AS phase FROM t ORDER BY phase, doc_id")
+@query("o6_phase_order", f"WITH {V.DOCS}, t AS (SELECT doc_id, {_PHASE} AS type FROM docs) SELECT doc_id, type, CASE type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 WHEN 'hardlink' THEN 2 ELSE 3 END AS phase, row_number() OVER (ORDER BY CASE type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 WHEN 'hardlink' THEN 2 ELSE 3 END, doc_id) AS place FROM t")
 def o6_phase_order(spark, sf):
     t = V.docs(spark, sf).select("doc_id", F.expr(_PHASE).alias("type"))
-    return t.withColumn("phase", F.when(F.col("type") == "directory", 0).when(F.col("type") == "file", 1).when(F.col("type") == "hardlink", 2).otherwise(3)).orderBy("phase", "doc_id")
+    phase = F.when(F.col("type") == "directory", 0).when(F.col("type") == "file", 1).when(F.col("type") == "hardlink", 2).otherwise(3)
+    return ranked(t.withColumn("phase", phase), [F.col("phase"), F.col("doc_id")])
 
 
 @query("o7_top300", f"WITH {V.DOCS} SELECT path FROM docs WHERE contains(path, '1') ORDER BY path LIMIT 300")
@@ -408,11 +411,11 @@ def g1_cdc_scaled(spark, sf):
     return G.content_chunks(d, ["k"], "content", *CDC).select("k", "chunk_no", "offset", "length")
 
 
-@query("g1_cdc_stream", _cdc_sql(f"{V.DOCS}, s AS (SELECT doc_id // 250 AS k, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM docs GROUP BY 1)", 64 << 10, 1 << 20, 18))
+@query("g1_cdc_stream", _cdc_sql(f"{V.DOCS}, s AS (SELECT doc_id // 5000 AS k, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM docs GROUP BY 1)", 64 << 10, 1 << 20, 18))
 def g1_cdc_stream(spark, sf):
-    # streams of 250 documents; a stream is cut in order, so its length bounds a task
+    # streams of 5,000 documents, so that the longest chunk is met; a stream is cut in order, so its length bounds a task
     texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
-    d = V.docs(spark, sf).groupBy(F.expr("doc_id div 250").alias("k")).agg(F.array_join(texts, "\n").cast("binary").alias("content"))
+    d = V.docs(spark, sf).groupBy(F.expr("doc_id div 5000").alias("k")).agg(F.array_join(texts, "\n").cast("binary").alias("content"))
     return G.content_chunks(d, ["k"]).select("k", "chunk_no", "offset", "length")
 
 
@@ -459,11 +462,12 @@ def r5_unique_blocks(spark, sf):
     return C.block_rules(every).where("rule = 'R5'")
 
 
-@query("r1_r2_header", f"WITH {V.DOCS}, h AS (SELECT doc_id, (doc_id % 5)::INTEGER AS version, doc_id % 2 = 1 AS enc, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 65536 END AS mem FROM docs) SELECT 'R1' AS rule, 'header' AS subject, version::VARCHAR AS detail, count(*)::BIGINT AS n FROM h WHERE version NOT IN (2, 3) GROUP BY version UNION ALL SELECT 'R2', 'header', 'key derivation settings', count(*)::BIGINT FROM h WHERE (enc AND mem = 0) OR (NOT enc AND mem <> 0)")
+@query("r1_r2_header", f"WITH {V.DOCS}, h AS (SELECT doc_id, (doc_id % 5)::INTEGER AS version, doc_id % 2 = 1 AS enc, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 65536 END AS mem, 67108860 + doc_id % 7 AS raw, CASE WHEN doc_id % 11 = 3 THEN 67109889 ELSE 90 END AS stored FROM docs) SELECT 'R1' AS rule, 'header' AS subject, version::VARCHAR AS detail, count(*)::BIGINT AS n FROM h WHERE version NOT IN (2, 3) GROUP BY version UNION ALL SELECT 'R2', 'header', 'key derivation settings', count(*)::BIGINT FROM h WHERE (enc AND mem = 0) OR (NOT enc AND mem <> 0) UNION ALL SELECT 'R6', 'header', raw::VARCHAR, count(*)::BIGINT FROM h WHERE raw > 67108864 OR stored > 67109888 GROUP BY raw")
 def r1_r2_header(spark, sf):
     mem = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(65536)
     other = lambda v: F.when(F.col("doc_id") % 3 == 0, 0).otherwise(v)
-    h = V.docs(spark, sf).select((F.col("doc_id") % 5).cast("int").alias("version"), (F.col("doc_id") % 2 == 1).alias("encrypted"), mem.alias("kdf_memory_kib"), other(3).alias("kdf_iterations"), other(1).alias("kdf_lanes"), F.lit(100).alias("manifest_raw_size"), F.lit(90).alias("manifest_stored_size"))
+    raw, stored = F.lit(67108860) + F.col("doc_id") % 7, F.when(F.col("doc_id") % 11 == 3, 67109889).otherwise(90)
+    h = V.docs(spark, sf).select((F.col("doc_id") % 5).cast("int").alias("version"), (F.col("doc_id") % 2 == 1).alias("encrypted"), mem.alias("kdf_memory_kib"), other(3).alias("kdf_iterations"), other(1).alias("kdf_lanes"), raw.alias("manifest_raw_size"), stored.alias("manifest_stored_size"))
     return C.header_rules(h).groupBy("rule", "subject", "detail").agg(F.count("*").alias("n"))
 
 

@@ -147,3 +147,51 @@ def test_dedup_runs_before_the_codec(spark):
     assert sorted(tuple(r) for r in K.first_occurrence(chunks, ["n"]).collect()) == [("x", 1), ("y", 1)]
     plan = D.encode_blocks(chunks.dropDuplicates(["block_id"]).select("block_id", F.encode("block_id", "UTF-8").alias("content")))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Aggregate")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(1, 25), st.lists(st.integers(0, 60), max_size=6))
+def test_solid_packing_over_ranges_is_the_fold(sizes, limit, cuts):
+    """Ranges of any extent, passed through by their tables alone, give the blocks of one fold in order."""
+    from cairn.operators import solid
+
+    want, block, held = [], 0, None
+    for x in sizes:
+        if held is None:
+            held = 0
+        elif held + x > limit or held >= limit:
+            block, held = block + 1, 0
+        want.append((block, held))
+        held += x
+    got, state = [], (-1, 0)
+    for part in np.split(np.array(sizes, np.int64), sorted(min(c, len(sizes)) for c in cuts)):
+        if len(part):
+            b, o = solid.placed(part, limit, *state)
+            got += zip(b.tolist(), o.tolist(), strict=True)
+            most, begun, last = solid.passage(part, limit)
+            assert most[-1] == -1 and all(x <= y for x, y in zip(most[:-1], most[1:-1]))
+            state = solid.followed(state, begun, last, most, int(part.sum()), limit)
+    assert got == want
+
+
+def test_corpus_digest(spark):
+    import hashlib
+
+    from cairn.operators import digests
+
+    rows = [(f"d{k % 7}/f{k}", f"{k * 7919:064x}") for k in range(500)]
+    df = spark.createDataFrame(rows, "path string, digest string").repartition(5)
+    text = "\n".join(f"{p}:{d}" for p, d in sorted(rows))
+    assert digests.corpus_digest(df).collect() == [(hashlib.sha256(text.encode()).hexdigest(), 500)]
+    assert digests.corpus_digest(df.limit(0)).collect() == [(None, 0)]
+
+
+def test_adaptive_policy_covers_all_probes():
+    """In each mode every probe up to the bound has a codec, and over it none."""
+    from cairn.operators import codecs
+
+    for mode in ("fast", "balanced", "max", "auto"):
+        for zstd in (False, True):
+            assert all(codecs.rules(mode, zstd, k / 1000) for k in range(993))
+            assert not codecs.rules(mode, zstd, 0.9921) and codecs.rules("odd", zstd, 0.3) == codecs.rules("auto", zstd, 0.3)
+    assert codecs.rules("fast", True, 0.98, named=True) == [(codecs.ZSTD, 1)] and codecs.rules("fast", False, 0.98, named=True) == []

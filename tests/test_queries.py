@@ -21,12 +21,51 @@ def db():
 
 
 def test_queries_without_sql(spark):
-    """Compressed sizes are a library's own: these two are held to bounds."""
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"x32_probe", "c2_adaptive"}
+    """Compressed sizes are a library's own: two are held to bounds, two to a plain version."""
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"x32_probe", "c2_adaptive", "c1_profiles", "a9_ratio"}
     assert all(0 < r.ratio < 2 for r in catalogue.QUERIES["x32_probe"](spark, SF).collect())
     assert all(r.stored_bytes <= r.raw_bytes for r in catalogue.QUERIES["c2_adaptive"](spark, SF).collect())
 
 
+def test_profiles_equal_plain_version(spark):
+    import zstandard
+
+    from cairn.functions.binary import SIGNATURES
+    from cairn.plans import vfs
+
+    want = {}
+    for r in vfs.blobs(spark, SF).collect():
+        b = bytes(r.b)
+        z = zstandard.ZstdCompressor(level=3).compress(b)
+        raw = b.startswith(SIGNATURES) or len(z) >= len(b)
+        want[r.doc_id] = (0, len(b), len(b)) if raw else (4, len(b), len(z))
+    got = {r.doc_id: (r.method, r.raw_size, r.stored_size) for r in catalogue.QUERIES["c1_profiles"](spark, SF).collect()}
+    assert got == want and {m for m, _, _ in want.values()} == {0, 4}
+
+
+def test_ratio_equals_plain_version(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from cairn.functions import paths
+    from cairn.plans import archives, scans, vfs
+
+    rows = scans.named(spark, SF).join(vfs.docs(spark, SF).select("doc_id", "text"), "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), "text").withColumn("category", paths.category(F.col("path"))).collect()
+    left, packed, taken = archives._ALL, {}, {}
+    for r in sorted(rows, key=lambda r: r.path.replace("/", "\0").encode()):
+        part = r.text.encode()[: min(archives._EACH, left)]
+        left -= len(part)
+        if part:
+            packed[r.category] = packed.get(r.category, 0) + len(zlib.compress(part, 1))
+            taken[r.category] = taken.get(r.category, 0) + len(part)
+    got = {r.category: (r.ratio, r.advice) for r in catalogue.QUERIES["a9_ratio"](spark, SF).collect()}
+    assert set(got) == {r.category for r in rows}
+    for c, (ratio, advice) in got.items():
+        want = packed[c] / taken[c] if c in taken else 1.0
+        assert abs(ratio - want) < 1e-9 and advice == ("auto or balanced" if want < 0.55 else "balanced" if want < 0.9 else "fast or auto")
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_equal(spark, db, name):
     df = catalogue.QUERIES[name](spark, SF)
