@@ -6,7 +6,12 @@ are summed two bits to a long (a vote in each half), so 128 bits take 64 sums in
 2**31 terms fit. Ties count as 0. A text without words has the fingerprint of all zeros.
 
 Near fingerprints are found with permuted block tables: the bits are cut into blocks, and every choice of
-blocks that must agree by the pigeonhole principle is a table keyed by these blocks' bits.
+blocks that must agree by the pigeonhole principle is a table keyed by these blocks' bits. The query searches
+for the fingerprints of every row whose doc_id is divisible by EVERY, against all rows.
+
+A null text is the empty one. Very long texts count with all their shingles. Rows that repeat an id, or have
+none, are rows of their own, in the order of id (none first) and text; the only row of a table is its own next
+one. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +22,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.llm import common as C
+
 BITS = 128
 SHINGLE = 5
 #: Buckets of consecutive documents per shuffle partition.
 BUCKETS = 4
+#: Bits in which near fingerprints may differ, and blocks that they are cut into.
+RADIUS, BLOCKS = 6, 8
+#: Of the rows whose doc_id is divisible by this, the query counts the near ones.
+EVERY = 100
 _HALVES = 0x0000000100000001
 
 
@@ -70,25 +81,42 @@ def text_of(a: str = "") -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.col(f"{a}{h}")), 16, "0") for h in ("fa", "fb")]))
 
 
-def near(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of different fingerprints (columns fa, fb) within radius, by their text.
-
-    Any radius flipped bits leave blocks - radius blocks untouched; each choice of so many is a table.
-    """
+def _tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fa, fb with k and key of each permuted table: any radius flipped bits leave blocks - radius blocks as they are; each choice of so many is a table."""
     if not 0 < radius < blocks <= BITS:
         raise ValueError("radius must be positive and under the number of blocks")
-    one = prints.select("fa", "fb").distinct().withColumn("text", text_of())
     size = -(-BITS // blocks)
-    binary = F.concat(*[F.lpad(F.conv(F.hex(c), 16, 2), 64, "0") for c in ("fa", "fb")])
-    cut = one.withColumn("bits", binary)
+    bits = F.concat(*[F.lpad(F.conv(F.hex(c), 16, 2), 64, "0") for c in ("fa", "fb")])
     tables = F.array(*[
         F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.substring("bits", 1 + size * b, size) for b in pick]).alias("key")) for k, pick in enumerate(combinations(range(blocks), blocks - radius))
     ])
-    rows = cut.select("text", "fa", "fb", F.explode(tables).alias("t")).select("text", "fa", "fb", "t.k", "t.key")
-    left = rows.select("k", "key", *[F.col(c).alias(f"l_{c}") for c in ("text", "fa", "fb")])
-    both = left.join(rows.select("k", "key", *[F.col(c).alias(f"r_{c}") for c in ("text", "fa", "fb")]), ["k", "key"]).where("l_text < r_text")
+    return prints.select("fa", "fb", bits.alias("bits")).select("fa", "fb", F.explode(tables).alias("t")).select("fa", "fb", "t.k", "t.key")
+
+
+def _met(left: DataFrame, right: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """l_fa, l_fb, r_fa, r_fb, distance: rows of left and right within radius, each pair once."""
+    named = lambda t, p: _tables(t, radius, blocks).select("k", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("fa", "fb")])
+    both = named(left, "l").join(named(right, "r"), ["k", "key"])
     apart = F.bit_count(F.col("l_fa").bitwiseXOR(F.col("r_fa"))) + F.bit_count(F.col("l_fb").bitwiseXOR(F.col("r_fb")))
-    return both.select(F.col("l_text").alias("a"), F.col("r_text").alias("b"), apart.alias("distance")).where(F.col("distance") <= radius).distinct()
+    return both.select("l_fa", "l_fb", "r_fa", "r_fb", apart.alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+def near(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of different fingerprints (columns fa, fb) within radius, by their text. For small sets: pairs grow with the square of a group."""
+    one = prints.select("fa", "fb").distinct()
+    return _met(one, one, radius, blocks).select(text_of("l_").alias("a"), text_of("r_").alias("b"), "distance").where("a < b")
+
+
+def near_rows(prints: DataFrame, every: int = EVERY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """fa, fb, n_near, near_doc_id for the fingerprints of rows (doc_id, fa, fb) whose doc_id is divisible by `every`.
+
+    n_near: rows, besides one of its own, with a fingerprint within radius; near_doc_id: the smallest doc_id of all of them.
+    Equal fingerprints are one, with their number, so that copies are not compared.
+    """
+    some = prints.groupBy("fa", "fb").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    asked = prints.where(F.col("doc_id") % every == 0).select("fa", "fb").distinct()
+    found = _met(asked, some, radius, blocks).join(some.select(F.col("fa").alias("r_fa"), F.col("fb").alias("r_fb"), "n", "first"), ["r_fa", "r_fb"])
+    return found.groupBy(F.col("l_fa").alias("fa"), F.col("l_fb").alias("fb")).agg((F.sum("n") - 1).alias("n_near"), F.min("first").alias("near_doc_id"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -141,5 +169,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "n_chars", "edited_sha256", text_of().alias("fingerprint"), text_of("e_").alias("edited_fingerprint"), likeness("", "e_").alias("near_edited"), likeness("", "x_").alias("near_next"))
 
 
+def searched(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """fingerprints(docs) with n_near and near_doc_id of `near_rows`; null for rows that aren't asked for."""
+    long = lambda c: F.conv(c, 16, -10).cast("long")
+    got = C.written(fingerprints(docs).withColumns({"fa": long(F.left("fingerprint", F.lit(16))), "fb": long(F.right("fingerprint", F.lit(16)))}))
+    found = C.written(near_rows(got.select("doc_id", "fa", "fb"), every))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    # the many rows that aren't asked for need no join
+    return got.where(~asked).drop("fa", "fb").withColumns({"n_near": F.lit(None).cast("long"), "near_doc_id": F.lit(None).cast("long")}).unionByName(got.where(asked).join(found, ["fa", "fb"], "left").drop("fa", "fb"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return searched(spark.read.parquet(f"{sf_dir}/documents.parquet"))

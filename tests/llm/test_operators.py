@@ -200,13 +200,47 @@ def test_near_fingerprints(spark):
     prints = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(1, 6))) for b in base]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in [*prints, prints[0]]], "fa long, fb long")
-    for radius, blocks in ((3, 6), (3, 4)):
+    for radius, blocks in ((3, 6), (3, 4), (simhash.RADIUS, simhash.BLOCKS)):
         got = {(r.a, r.b): r.distance for r in simhash.near(df, radius, blocks).collect()}
         hexed = sorted({f"{p:032x}" for p in prints})
         want = {(a, b): d for i, a in enumerate(hexed) for b in hexed[i + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
         assert got == want and want
 
 
+def test_near_rows_equal_brute_force(spark, monkeypatch):
+    """For every fourth row, against all rows: copies count, null ids are found but not asked for."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 9))) for b in base for _ in range(12)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ids = [k if k % 11 else None for k in range(len(prints))]
+    df = spark.createDataFrame([(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in zip(ids, prints, strict=True)], "doc_id long, fa long, fb long")
+    got = {((r.fa % (1 << 64)) << 64) | (r.fb % (1 << 64)): (r.n_near, r.near_doc_id) for r in simhash.near_rows(df, 4).collect()}
+    want = {}
+    for i, p in zip(ids, prints, strict=True):
+        if i is not None and i % 4 == 0:
+            own = [j for j, q in zip(ids, prints, strict=True) if (p ^ q).bit_count() <= 6]
+            want[p] = (len(own) - 1, min(j for j in own if j is not None))
+    assert got == want and max(n for n, _ in want.values()) > 3
+
+
+def test_search_keeps_all_rows(spark, docs, texts, empty):
+    got = simhash.searched(docs, 10).collect()
+    plain = {tuple(r) for r in simhash.fingerprints(docs).collect()}
+    assert {tuple(r)[:7] for r in got} == plain and len(got) == len(texts)
+    assert all((r.n_near is None) == (r.doc_id % 10 != 0) for r in got) and simhash.searched(empty).count() == 0
+    assert simhash.searched(docs.withColumnRenamed("lang", "fa")).columns[:7] == simhash.fingerprints(docs).columns
+    of = {r.doc_id: r.fingerprint for r in got}
+    for r in got:
+        if r.n_near is not None:
+            assert r.n_near + 1 == sum((int(r.fingerprint, 16) ^ int(f, 16)).bit_count() <= 6 for f in of.values())
+
+
+def test_the_search_runs_no_python(spark, docs):
+    plan = simhash.near_rows(docs.selectExpr("doc_id", "doc_id as fa", "n_chars as fb"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
 # 4: chat
 
 
