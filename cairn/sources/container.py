@@ -21,7 +21,10 @@ from typing import BinaryIO
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn import model as M
 from cairn.functions import crypto
@@ -168,47 +171,52 @@ def publish(temp: str, path: str) -> None:
         os.unlink(temp)
 
 
-def write(path: str, blocks: Iterable[tuple[str, int, int, bytes]], entries: Iterable[dict], version: int = 3, password: str | None = None, kdf: tuple[int, int, int] = M.KDF_DEFAULT, label: bytes = ID_LABEL) -> None:
-    """Write blocks (id, method, raw size, payload) as they come, then the manifest; publish when complete.
+def emit(f: BinaryIO, blocks: Iterable[tuple[str, int, int, bytes]], entries: Iterable[dict], version: int = 3, password: str | None = None, kdf: tuple[int, int, int] = M.KDF_DEFAULT, label: bytes = ID_LABEL) -> None:
+    """Write blocks (id, method, raw size, payload) as they come, then the manifest and the end mark.
 
     With a password (version 3), payloads and manifest are sealed and ids keyed; entries' references follow.
     """
     if password is not None and (not password or version != 3):
         raise ValueError("a password must not be empty, and needs version 3")
+    key = None
+    f.write((M.MAGIC_V3 if version == 3 else M.MAGIC_V2) + struct.pack("<I", version))
+    if version == 3:
+        salt = os.urandom(16) if password else bytes(16)
+        f.write(bytes([bool(password)]) + _KDF.pack(salt, *(kdf if password else (0, 0, 0))))
+        key = crypto.derive_key(password, salt, *kdf) if password else None
+    for block_id, method, raw, payload in blocks:
+        own = bytes.fromhex(block_id)
+        if key:
+            own = crypto.keyed_id(key, own, label)
+            payload = crypto.seal(key, payload, block_aad(own, raw, method))
+        f.write(b"B" + _BLOCK.pack(own, method, raw, len(payload)))
+        f.write(payload)
+    rows = []
+    for e in entries:
+        segs = []
+        for s in e.pop("segments") or []:
+            if s["zero"] is not None:
+                segs.append({"zero": s["zero"]})
+            else:
+                name = crypto.keyed_id(key, bytes.fromhex(s["block"]), label).hex() if key else s["block"]
+                segs.append({"block": name, "offset": s["offset"], "length": s["length"]})
+        rows.append({k: v for k, v in e.items() if v is not None} | {"segments": segs})
+    plain = json.dumps({"format": "cairn", "version": version, "entries": rows}, ensure_ascii=False, separators=(",", ":")).encode()
+    if len(plain) > M.MAX_MANIFEST_BYTES:
+        raise ValueError("manifest is over the size limit")
+    stored = zstandard.ZstdCompressor(level=3).compress(plain) if version == 3 else lzma.compress(plain, preset=6)
+    if key:
+        stored = crypto.seal(key, stored, _AAD_MANIFEST)
+    f.write(b"M" + _MANIFEST.pack(len(plain), len(stored), bytes(32) if key else hashlib.sha256(plain).digest()))
+    f.write(stored + b"E")
+
+
+def write(path: str, blocks: Iterable[tuple[str, int, int, bytes]], entries: Iterable[dict], version: int = 3, password: str | None = None, kdf: tuple[int, int, int] = M.KDF_DEFAULT, label: bytes = ID_LABEL) -> None:
+    """`emit` to a file of its own, that gets its name when it is complete."""
     temp = f"{path}.{uuid.uuid4().hex}.partial"
     try:
         with open(temp, "xb") as f:
-            key = None
-            f.write((M.MAGIC_V3 if version == 3 else M.MAGIC_V2) + struct.pack("<I", version))
-            if version == 3:
-                salt = os.urandom(16) if password else bytes(16)
-                f.write(bytes([bool(password)]) + _KDF.pack(salt, *(kdf if password else (0, 0, 0))))
-                key = crypto.derive_key(password, salt, *kdf) if password else None
-            for block_id, method, raw, payload in blocks:
-                own = bytes.fromhex(block_id)
-                if key:
-                    own = crypto.keyed_id(key, own, label)
-                    payload = crypto.seal(key, payload, block_aad(own, raw, method))
-                f.write(b"B" + _BLOCK.pack(own, method, raw, len(payload)))
-                f.write(payload)
-            rows = []
-            for e in entries:
-                segs = []
-                for s in e.pop("segments") or []:
-                    if s["zero"] is not None:
-                        segs.append({"zero": s["zero"]})
-                    else:
-                        name = crypto.keyed_id(key, bytes.fromhex(s["block"]), label).hex() if key else s["block"]
-                        segs.append({"block": name, "offset": s["offset"], "length": s["length"]})
-                rows.append({k: v for k, v in e.items() if v is not None} | {"segments": segs})
-            plain = json.dumps({"format": "cairn", "version": version, "entries": rows}, ensure_ascii=False, separators=(",", ":")).encode()
-            if len(plain) > M.MAX_MANIFEST_BYTES:
-                raise ValueError("manifest is over the size limit")
-            stored = zstandard.ZstdCompressor(level=3).compress(plain) if version == 3 else lzma.compress(plain, preset=6)
-            if key:
-                stored = crypto.seal(key, stored, _AAD_MANIFEST)
-            f.write(b"M" + _MANIFEST.pack(len(plain), len(stored), bytes(32) if key else hashlib.sha256(plain).digest()))
-            f.write(stored + b"E")
+            emit(f, blocks, entries, version, password, kdf, label)
             f.flush()
             os.fsync(f.fileno())
         publish(temp, path)
@@ -270,17 +278,32 @@ class ContainerSource(DataSource):
         return _Reader(self.options, schema)
 
 
-def scan(spark: SparkSession, paths: str, password: str | None = None) -> DataFrame:
-    """archive and ENTRY rows of all containers under paths, in any store that Spark reads; one task opens many."""
-    from pyspark.sql import types as T
+def _rows_of(data: bytes, table: str, password: str | None) -> Iterator[tuple]:
+    ix = read_index(io.BytesIO(data), len(data), password)
+    if table == "blocks":
+        for b in ix.blocks:
+            yield b.block_id, b.method, b.raw_size, b.stored_size, b.offset, open_payload(ix.key, b, data[b.offset : b.offset + b.stored_size])
+    elif table == "header":
+        yield ix.version, ix.encrypted, ix.salt, *ix.kdf, ix.manifest_raw, ix.manifest_stored, ix.manifest_digest
+    else:
+        yield from (tuple(e.values()) for e in entry_rows(ix.manifest))
+
+
+def opened(archives: DataFrame, table: str = "entries", password: str | None = None) -> DataFrame:
+    """archive and the rows of ENTRY, BLOCK or HEADER of containers that are rows (archive, content); one task opens many."""
+    schema = T.StructType([T.StructField("archive", T.StringType()), *{"entries": M.ENTRY, "blocks": M.BLOCK, "header": M.HEADER}[table]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = pa.struct([("block", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("zero", pa.int64())])
-        kinds = {"path": pa.string(), "type": pa.string(), "size": pa.int64(), "mtime_ns": pa.int64(), "mode": pa.int32(), "uid": pa.int64(), "gid": pa.int64(), "target": pa.string(), "segments": pa.list_(seg)}
+        kinds = to_arrow_schema(schema)
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = list(entry_rows(read_index(io.BytesIO(data), len(data), password).manifest))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[c] for r in rows], k) for c, k in kinds.items())], names=["archive", *kinds])
+            for name, data in zip(b.column("archive").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows = [dict(zip(schema.names, (name, *r), strict=True)) for r in _rows_of(data, table, password)]
+                yield from pa.Table.from_pylist(rows, kinds).to_batches()
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.mapInArrow(run, T.StructType([T.StructField("archive", T.StringType()), *M.ENTRY]))
+    return archives.select("archive", "content").mapInArrow(run, schema)
+
+
+def scan(spark: SparkSession, paths: str, password: str | None = None) -> DataFrame:
+    """archive and ENTRY rows of all containers under paths, in any store that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return opened(files.select(F.col("path").alias("archive"), "content"), password=password)

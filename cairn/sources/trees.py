@@ -126,13 +126,13 @@ def archive_rows(name: str, data: bytes) -> Iterator[tuple]:
 MEMBER = T.StructType([T.StructField("archive", T.StringType()), T.StructField("path", T.StringType()), T.StructField("type", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("mtime_ns", T.LongType()), T.StructField("mode", T.IntegerType()), T.StructField("target", T.StringType())])
 
 
-def archives(spark: SparkSession, paths: str, content: bool = True, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Rows of MEMBER of all archives under paths; one task opens many. content=False leaves bytes out."""
+def members(archives_: DataFrame, content: bool = True, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """Rows of MEMBER of archives that are rows (archive, content); one task opens many. content=False leaves bytes out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for name, data in zip(b.column("archive").to_pylist(), b.column("content").to_pylist(), strict=True):
                 rows, size = [], 0
                 for n, r in enumerate(archive_rows(name, data)):
                     if n >= max_entries:
@@ -145,5 +145,10 @@ def archives(spark: SparkSession, paths: str, content: bool = True, max_entries:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=MEMBER.names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.mapInArrow(run, MEMBER)
+    return archives_.select("archive", "content").mapInArrow(run, MEMBER)
+
+
+def archives(spark: SparkSession, paths: str, content: bool = True, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """Rows of MEMBER of all archives under paths, in any store that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return members(files.select(F.col("path").alias("archive"), "content"), content, max_entries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairn.operators.order import checkpoint_dir
+
 
 def document_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Parquet files as they arrive in a folder."""
@@ -42,6 +45,16 @@ def solid_stream(stream: DataFrame, group: str, limit: int) -> DataFrame:
     return stream.groupBy(group).applyInPandasWithState(step, f"{group} string, member long, block long, offset long", "block long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
+def finished(stream: DataFrame) -> DataFrame:
+    """All that a stream makes of what is there now. Its output and state lie in the shared folder until the application ends."""
+    spark = stream.sparkSession
+    place = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
 def progress_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, phase, completed, n of progress events (ts, phase, bytes) in tumbling windows; later ones are dropped."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "phase").agg(F.sum("bytes").alias("completed"), F.count("*").alias("n"))
