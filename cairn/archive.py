@@ -48,8 +48,11 @@ class ArchiveEngine:
         reader = self.spark.read.format("tree").option("path", source)
         return (reader.option("exclude", exclude) if exclude else reader).load()
 
-    def create(self, source: str, destination: str, profile: str = "balanced", password: str | None = None, version: int = 3, kdf: tuple[int, int, int] = M.KDF_DEFAULT) -> None:
-        """Pack a folder into a container, or a zip file by its name; neither may exist yet."""
+    def create(self, source: str, destination: str, profile: str = "balanced", password: str | None = None, version: int = 3, kdf: tuple[int, int, int] = M.KDF_DEFAULT, mode: str = "auto", **options) -> None:
+        """Pack a folder into a container, or a zip file by its name; neither may exist yet.
+
+        mode: of the adaptive policy, for version 2. options: bounds of `archiving.pack` (small, solid_limit, chunking).
+        """
         if profile not in M.PROFILES:
             raise ValueError(f"profile must be one of {', '.join(M.PROFILES)}")
         if password == "":
@@ -64,7 +67,7 @@ class ArchiveEngine:
                 sinks.write_zip(files, destination)
                 return
             # version 2 has other codec numbers, that the adaptive policy keeps to
-            entries, blocks = A.pack(files, profile, adaptive="auto" if version == 2 else None)
+            entries, blocks = A.pack(files, profile, adaptive=mode if version == 2 else None, **options)
             order = F.col(A.ORDER)
             rows = ((r.block_id, r.method, r.raw_size, bytes(r.payload)) for r in blocks.orderBy(order, "chunk_no").toLocalIterator())
             listed = (r.asDict(True) for r in entries.orderBy(order).drop(A.ORDER).toLocalIterator())
@@ -106,33 +109,54 @@ class ArchiveEngine:
         broken = A.decode(blocks, keyed=bool(password)).where("error is not null").select(F.lit("R19").alias("rule"), F.col("block_id").alias("subject"), F.col("error").alias("detail"))
         return C.violations(entries, index, max_output=self.max_output_bytes, links="allow").unionByName(broken)
 
-    def extract(self, path: str, destination: str, password: str | None = None, restore: bool = False) -> int:
-        """Write an archive's files below destination, after all rules hold; the number of files. restore: also modes and times."""
+    def extract(self, path: str, destination: str, password: str | None = None, restore: bool = False, overwrite: bool = False, links: bool = False, verify: bool = True) -> int:
+        """Write an archive's files below destination, after all rules hold; the number of files.
+
+        restore: also modes and times. overwrite: files and links that are there give way. links: links are made too, if
+        they lead to a place below destination. verify: payloads are decoded and hashed before anything is written;
+        rules on paths, sizes and segments are checked in any case.
+        """
         with self._run("extract"):
             external = not os.path.isdir(path) and not self._is_container(path)
             if external:
                 rows = trees.archives(self.spark, path)
-                problems = C.path_rules(rows).unionByName(C.total_rules(rows, self.max_output_bytes))
+                problems = C.path_rules(rows, links="allow" if links else "refuse").unionByName(C.total_rules(rows, self.max_output_bytes))
             else:
                 entries, blocks = self.tables(path, password)
-                problems = self.verify(path, password).unionByName(C.path_rules(entries).where("rule = 'R20'"))
+                problems = self.verify(path, password) if verify else self._rules(path, password)
+                if not links:
+                    problems = problems.unionByName(C.path_rules(entries).where("rule = 'R20'"))
             if first := problems.limit(5).collect():
                 raise container.ContainerError("; ".join(f"{r.rule} {r.subject}: {r.detail}" for r in first))
             if external:
-                entries, blocks = A.pack(rows.withColumns({c: F.lit(None).cast("long") for c in ("uid", "gid")}), "store")
-            names = [r.path for r in entries.select("path").toLocalIterator()]
-            taken = [n for n in names if os.path.lexists(f"{destination}/{n}") and not os.path.isdir(f"{destination}/{n}")]
-            linked = {p for n in names for p in _parents(n) if os.path.islink(f"{destination}/{p}")}
+                entries, blocks = A.pack(rows.withColumns({c: F.lit(None).cast("long") for c in ("uid", "gid")}), "store", links=links)
+            linked, taken = set(), []
+            for r in entries.select("path").toLocalIterator():  # the folder is one of the driver's file system
+                full = f"{destination}/{r.path}"
+                if not overwrite and os.path.lexists(full) and not os.path.isdir(full):
+                    taken.append(r.path)
+                linked |= {p for p in _parents(r.path)[:-1] if os.path.islink(f"{destination}/{p}")}
+                if os.path.islink(full) and not overwrite:
+                    linked.add(r.path)
             if taken or linked:
                 raise FileExistsError(", ".join(sorted([*taken, *linked])[:5]))
             os.makedirs(destination, exist_ok=True)
             for r in entries.where("type in ('directory', 'dir')").select("path").toLocalIterator():
                 os.makedirs(f"{destination}/{r.path}", exist_ok=True)
-            done = A.write_files(entries, blocks, os.path.abspath(destination), keyed=bool(password), restore=restore).agg(F.count("*").alias("n"), F.first("error", True).alias("error")).first()
+            done = A.write_files(entries.where("type = 'file'"), blocks, os.path.abspath(destination), keyed=bool(password), restore=restore, overwrite=overwrite).agg(F.count("*").alias("n"), F.first("error", True).alias("error")).first()
             if done.error:
                 raise OSError(done.error)
+            if links:
+                for r in entries.where("type in ('symlink', 'hardlink')").orderBy("type", "path").select("path", "type", "target").toLocalIterator():
+                    _link(destination, r.path, r.type, r.target, overwrite)
             return done.n
 
+    def _rules(self, path: str, password: str | None) -> DataFrame:
+        """All rules that need no payload."""
+        entries, blocks = self.tables(path, password)
+        index = blocks.drop("payload") if os.path.isdir(path) else self._table(path, "block_index", password)
+        return C.violations(entries, index, max_output=self.max_output_bytes, links="allow")
+
     def analyze(self, source: str) -> DataFrame:
         return A.analyze(self.files(source))
 
@@ -179,6 +203,21 @@ class ArchiveEngine:
         return len(names)
 
 
+def _link(root: str, path: str, kind: str, target: str | None, overwrite: bool) -> None:
+    """Make one link, if what it leads to is below root."""
+    full, base = f"{root}/{path}", os.path.realpath(root)
+    goal = os.path.realpath(os.path.join(root if kind == "hardlink" else os.path.dirname(full), target or ""))
+    if not target or os.path.isabs(target) or os.path.commonpath([goal, base]) != base:
+        raise container.ContainerError(f"unsafe link {path}")
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    if overwrite and os.path.lexists(full):
+        os.unlink(full)
+    if kind == "hardlink":
+        os.link(goal, full, follow_symlinks=False)
+    else:
+        os.symlink(target, full)
+
+
 def _parents(path: str) -> list[str]:
     p = path.rstrip("/").split("/")
     return ["/".join(p[:k]) for k in range(1, len(p) + 1)]

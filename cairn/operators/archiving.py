@@ -80,11 +80,11 @@ def pieces(entries: DataFrame, blocks: DataFrame, keyed: bool = False) -> DataFr
     return joined.select("path", "seg_no", piece.alias("piece"), "zero", F.when(F.col("block").isNotNull() & F.col("content").isNull(), F.coalesce("error", F.lit("missing block"))).otherwise(F.col("error")).alias("error"))
 
 
-def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool = False, restore: bool = False) -> DataFrame:
+def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool = False, restore: bool = False, overwrite: bool = False) -> DataFrame:
     """Write files under root, a folder that all executors share: path, size, error of each. restore: also modes and times.
 
     A file's pieces come in order to one task, that appends them to a temporary file and then links it to
-    its name; a file that is there is never replaced.
+    its name. A file that is there stays, unless `overwrite`; then it gives way, and so does a link, which isn't followed.
     """
     import os
     import uuid
@@ -108,7 +108,10 @@ def write_files(entries: DataFrame, blocks: DataFrame, root: str, keyed: bool =
                         os.chmod(state["temp"], state["mode"] & 0o777)
                     if restore and state["mtime_ns"] is not None:
                         os.utime(state["temp"], ns=(state["mtime_ns"], state["mtime_ns"]))
-                    publish(state["temp"], f"{root}/{state['path']}")
+                    if overwrite:
+                        os.replace(state["temp"], f"{root}/{state['path']}")
+                    else:
+                        publish(state["temp"], f"{root}/{state['path']}")
             except FileExistsError:
                 error = "exists"
             out.append((state["path"], state["n"], error))

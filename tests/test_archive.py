@@ -169,6 +169,57 @@ def test_links_at_the_destination_are_not_followed(engine, source, tmp_path):
     assert (tmp_path / "target").read_text() == "keep"
 
 
+def test_overwriting_replaces_the_link_itself(engine, source, tmp_path):
+    p = str(tmp_path / "x.spk")
+    engine.create(str(source), p, "store")
+    (tmp_path / "target").write_text("keep")
+    (tmp_path / "o/source/sub").mkdir(parents=True)
+    (tmp_path / "o/source/one.txt").symlink_to(tmp_path / "target")
+    (tmp_path / "o/source/small.txt").write_text("old")
+    assert engine.extract(p, str(tmp_path / "o"), overwrite=True) == 9
+    assert (tmp_path / "target").read_text() == "keep" and contents(tmp_path / "o/source") == contents(source)
+    (tmp_path / "p/source").mkdir(parents=True)
+    (tmp_path / "away").mkdir()
+    (tmp_path / "p/source/sub").symlink_to(tmp_path / "away")
+    with pytest.raises(FileExistsError):  # a folder that is a link is never followed
+        engine.extract(p, str(tmp_path / "p"), overwrite=True)
+    assert not list((tmp_path / "away").iterdir())
+
+
+def test_links_are_made_below_the_destination_only(engine, tmp_path):
+    def tar(name, links):
+        with tarfile.open(tmp_path / name, "w") as t:
+            info = tarfile.TarInfo("d/f.txt")
+            info.size = 4
+            t.addfile(info, io.BytesIO(b"text"))
+            for path, kind, target in links:
+                info = tarfile.TarInfo(path)
+                info.type, info.linkname = kind, target
+                t.addfile(info)
+        return str(tmp_path / name)
+
+    good = tar("good.tar", [("d/s", tarfile.SYMTYPE, "f.txt"), ("h", tarfile.LNKTYPE, "d/f.txt")])
+    with pytest.raises(container.ContainerError):
+        engine.extract(good, str(tmp_path / "no"))
+    assert engine.extract(good, str(tmp_path / "o"), links=True) == 1
+    assert os.readlink(tmp_path / "o/d/s") == "f.txt" and os.path.samefile(tmp_path / "o/h", tmp_path / "o/d/f.txt") and not os.path.islink(tmp_path / "o/h")
+    with pytest.raises(container.ContainerError):
+        engine.extract(tar("bad.tar", [("d/s", tarfile.SYMTYPE, "../../target")]), str(tmp_path / "q"), links=True)
+    assert not os.path.lexists(tmp_path / "q/d/s")
+
+
+def test_bounds_on_the_command_line(spark, source, tmp_path):
+    out = io.StringIO()
+    cli.run(cli.parser().parse_args(["create", str(source), str(tmp_path / "a.spk"), "--small-kib", "2", "--chunk-mib", "2", "--solid-mib", "1", "--profile", "fast"]), spark, out)
+    cli.run(cli.parser().parse_args(["pack", str(source), str(tmp_path / "b.spk"), "--format", "2", "--mode", "fast"]), spark, out)
+    for name in "ab":
+        cli.run(cli.parser().parse_args(["extract", str(tmp_path / f"{name}.spk"), str(tmp_path / "o"), "--overwrite", "--no-verify", "--restore"]), spark, out)
+        assert contents(tmp_path / "o/source") == contents(source)
+    for wrong in (["--small-kib", "0"], ["--chunk-mib", "33"], ["--solid-mib", "-1"]):
+        with pytest.raises(ValueError):
+            cli.run(cli.parser().parse_args(["create", str(source), str(tmp_path / "c.spk"), *wrong]), spark, out)
+
+
 def test_native_tables_and_scan(engine, spark, source, tmp_path):
     place = str(tmp_path / "native")
     engine.save(engine.files(str(source)), place, spread=1)
