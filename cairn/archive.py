@@ -178,11 +178,15 @@ class ArchiveEngine:
         root = os.path.dirname(index)
         with open(index) as f:
             size = json.load(f)["size"]
-        known = self.spark.read.parquet(f"{root}/slices").orderBy("file", "slice_no").collect()  # one archive's slices, 65,535 at most
+        slices = self.spark.read.parquet(f"{root}/slices")
         parity = {r.i: bytes(r.data) for r in self.spark.read.parquet(f"{root}/parity").collect()}
+        if os.path.lexists(destination):
+            raise FileExistsError(destination)
+        there = R.slices(trees.stored_files(self.spark, base).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"), size)
+        if first := R.preflight(slices, there, len(parity)).limit(5).collect():
+            raise ValueError("; ".join(f"{r.rule} {r.subject}: {r.detail}" for r in first))
+        known = slices.orderBy("file", "slice_no").collect()  # one archive's slices, 65,535 at most
         names = sorted({r.file for r in known})
-        if any(os.path.basename(n) != n or n in (".", "..") for n in names):
-            raise ValueError("unsafe file name in the recovery index")
         data = {n: open(f"{base}/{n}", "rb").read() if os.path.exists(f"{base}/{n}") else b"" for n in names}  # noqa: SIM115
         have, lost = {}, []
         for j, r in enumerate(known):

@@ -137,5 +137,20 @@ def damaged(index: DataFrame, present: DataFrame) -> DataFrame:
     return index.join(present.select("file", "slice_no", F.col("sha256").alias("now")), ["file", "slice_no"], "left").where("now is null or now <> sha256").select("file", "slice_no")
 
 
+def preflight(index: DataFrame, present: DataFrame, parity_slices: int) -> DataFrame:
+    """R28 (rule, subject, detail), before anything is written: names that could lead elsewhere, slices that the index lacks or has twice, and losses beyond the parity."""
+    rule = F.lit("R28").alias("rule")
+    of = index.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("slice_no").alias("d"), F.min("slice_no").alias("a"), F.max("slice_no").alias("b"))
+    unsafe = F.col("file").isNull() | F.col("file").isin("", ".", "..") | F.col("file").rlike(r"[/\\\x00]")
+    gaps = (F.col("a") != 0) | (F.col("b") + 1 != F.col("d"))
+    lost = damaged(index.distinct(), present).agg(F.count("*").alias("lost")).where(F.col("lost") > parity_slices)
+    return (
+        of.where(unsafe).select(rule, F.col("file").alias("subject"), F.lit("unsafe name").alias("detail"))
+        .unionByName(of.where(F.col("n") > F.col("d")).select(rule, F.col("file").alias("subject"), F.lit("a slice occurs twice").alias("detail")))
+        .unionByName(of.where(gaps).select(rule, F.col("file").alias("subject"), F.lit("slices are missing").alias("detail")))
+        .unionByName(lost.select(rule, F.lit("slices").alias("subject"), F.concat(F.col("lost").cast("string"), F.lit(f" lost, {parity_slices} parity")).alias("detail")))
+    )
+
+
 def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -155,6 +155,17 @@ def k8_recovery(spark, sf):
     return joined.mapInArrow(run, "archive string, slices long, lost long, parity long, sha256 string")
 
 
+@query("r28_preflight", f"""WITH {V.CHUNKS}, i AS (SELECT CASE WHEN doc_id % 17 = 3 THEN 'a/' ELSE 'f' END || doc_id AS file, chunk_no + CASE WHEN doc_id % 19 = 4 THEN 1 ELSE 0 END AS slice_no, doc_id FROM chunks), t AS (SELECT * FROM i UNION ALL SELECT * FROM i WHERE doc_id % 29 = 6 AND slice_no = 1), o AS (SELECT file, count(*) AS n, count(DISTINCT slice_no) AS d, min(slice_no) AS a, max(slice_no) AS b FROM t GROUP BY file), lost AS (SELECT count(*) AS n FROM i WHERE doc_id % 23 = 5)
+SELECT 'R28' AS rule, file AS subject, 'unsafe name' AS detail FROM o WHERE contains(file, '/') UNION ALL SELECT 'R28', file, 'a slice occurs twice' FROM o WHERE n > d UNION ALL SELECT 'R28', file, 'slices are missing' FROM o WHERE a <> 0 OR b + 1 <> d UNION ALL SELECT 'R28', 'slices', n || ' lost, 10 parity' FROM lost WHERE n > 10""")
+def r28_preflight(spark, sf):
+    """An index with odd names, gaps and repeats, and more losses than parity."""
+    c = V.chunks(spark, sf)
+    index = c.select(F.concat(F.when(F.col("doc_id") % 17 == 3, "a/").otherwise("f"), F.col("doc_id").cast("string")).alias("file"), (F.col("chunk_no") + F.when(F.col("doc_id") % 19 == 4, 1).otherwise(0)).alias("slice_no"), F.col("block_id").alias("sha256"), "doc_id")
+    twice = index.unionAll(index.where("doc_id % 29 = 6 and slice_no = 1"))
+    present = index.where("doc_id % 23 <> 5").drop("doc_id")
+    return R.preflight(twice.drop("doc_id"), present, 10)
+
+
 @query("k12_restored", f"WITH {V.DOCS} SELECT path, size, (384 + doc_id % 64)::INTEGER AS mode, 1000000000 * (doc_id % 1000000 + 1) AS mtime_ns FROM docs")
 def k12_restored(spark, sf):
     """Documents as files in the shared folder, with modes and times, as the tree source finds them there; the folder goes again."""
