@@ -31,11 +31,12 @@ class Scratch:
     """Files of one task, in a folder of its own below `place`."""
 
     def __init__(self, place: str) -> None:
-        self.fs, base = pafs.FileSystem.from_uri(place)
-        self.base, self.made, self.n, self.bytes = f"{base.rstrip('/')}/{uuid.uuid4().hex}", False, 0, 0
+        self.place, self.made, self.n, self.bytes = place, False, 0, 0
 
     def write(self, *arrays: np.ndarray) -> str:
-        if not self.made:
+        if not self.made:  # only a shard that doesn't fit memory needs the store
+            self.fs, base = pafs.FileSystem.from_uri(self.place)
+            self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
             self.fs.create_dir(self.base, recursive=True)
             self.made = True
         self.n += 1
