@@ -177,3 +177,22 @@ def test_language_query_equals_plain_count(spark):
             assert got[d.doc_id].lang_pred == f.langs[best] and abs(got[d.doc_id].score - fixed[best] / max(sum(fixed), 1e-9)) < 1e-9
         else:
             assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0)
+
+
+def test_figures_hold(spark):
+    """The figures of README.md, on smaller tables: held-out accuracy, likeness of edited texts, sequences over their least number."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the tables are not here")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    truth = {r.doc_id: r for r in docs.select("doc_id", "lang").collect()}
+    lang = [r.lang_pred == truth[r.doc_id].lang for r in queries.QUERIES["op6_language"](spark, sf).collect() if r.held_out and r.lang_pred != "und" and truth[r.doc_id].lang]
+    assert len(lang) > 100 and np.mean(lang) > 0.98
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    good = [r.predicted == labels[r.doc_id] for r in queries.QUERIES["op2_quality"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(good) > 50 and np.mean(good) > 0.97
+    prints = [(r.near_edited, r.near_next) for r in queries.QUERIES["op3_fingerprints"](spark, sf).collect() if r.n_chars > 200]
+    a, b = np.array(prints).T
+    assert np.mean(a[:, None] > b[None, :]) + np.mean(a[:, None] == b[None, :]) / 2 > 0.95
+    pieces = queries.QUERIES["op7_packing"](spark, sf).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in pieces}) <= 1.005 * sum(r.length for r in pieces) / 2048 + 1
