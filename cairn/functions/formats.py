@@ -49,5 +49,12 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done.cast("decimal(38,0)") * 100 / total.cast("decimal(38,0)")).cast("long"))
 
 
+def saturating_shift(n: Column, bits: Column) -> Column:
+    """n times two to the power of bits (n and bits of at least 0), at most the largest long; in whole numbers throughout."""
+    top = F.lit((1 << 63) - 1)
+    k = F.when(bits > 63, 63).otherwise(bits).cast("int")  # from 63 on only 0 stays under the top, and a shift would begin again at 64
+    return F.when(n <= F.call_function("shiftright", top, k), F.call_function("shiftleft", n, k)).otherwise(top)
+
+
 def saving(stored: Column, raw: Column) -> Column:
     return F.when(raw > 0, F.lit(100.0) * (F.lit(1.0) - stored.cast("double") / raw.cast("double")))

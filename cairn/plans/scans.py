@@ -328,8 +328,7 @@ def x18_saving(spark, sf):
 
 @query("x19_saturating", f"WITH {V.DOCS} SELECT doc_id, least(size::HUGEINT * (1::HUGEINT << (doc_id % 70)::INT), 9223372036854775807)::BIGINT AS bytes FROM docs")
 def x19_saturating(spark, sf):
-    wide = F.when(F.col("doc_id") % 70 >= 60, F.when(F.col("size") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(0))).otherwise(F.least(F.expr("try_multiply(cast(size as decimal(19,0)), cast(pow(2.0D, doc_id % 70) as decimal(19,0)))"), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long"))
-    return V.docs(spark, sf).select("doc_id", wide.alias("bytes"))
+    return V.docs(spark, sf).select("doc_id", X.saturating_shift(F.col("size"), F.col("doc_id") % 70).alias("bytes"))
 
 
 @query("x20_clamp", f"WITH {V.DOCS} SELECT doc_id, least(greatest(doc_id % 150 - 20, 1), 100) AS percent FROM docs")

@@ -55,6 +55,13 @@ def test_sizes(spark, f, pairs):
     assert column(spark, list(pairs), "long", f) == list(pairs.values())
 
 
+def test_saturating_shift(spark):
+    top = (1 << 63) - 1
+    pairs = [(n, k) for n in (0, 1, 2, 5, 7, 8, 13, 76039, top) for k in (0, 1, 54, 57, 59, 60, 61, 62, 63, 64, 69)]
+    got = spark.createDataFrame(pairs, "n long, k long").select("n", "k", X.saturating_shift(F.col("n"), F.col("k")).alias("x")).collect()
+    assert {(r.n, r.k): r.x for r in got} == {(n, k): min(n << k, top) for n, k in pairs}
+
+
 def test_ratio(spark):
     got = spark.createDataFrame([(1, 8), (3, 2), (1, 0)], "s long, r long").select(X.ratio_text(F.col("s"), F.col("r")).alias("x")).collect()
     assert [r.x for r in got] == ["0.125 (87.5% smaller)", "1.500 (-50.0% smaller)", "n/a"]
