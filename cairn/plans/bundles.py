@@ -187,12 +187,12 @@ def k12_restored(spark, sf):
 
 @query("t3_solid_stream", f"WITH RECURSIVE {V.DOCS}, o AS (SELECT lang || '/' || doc_id // 5000 AS part, doc_id AS member, size, row_number() OVER (PARTITION BY lang, doc_id // 5000 ORDER BY doc_id) AS rn FROM docs WHERE size <= 4096), p AS (SELECT part, member, rn, 0::BIGINT AS block, 0::BIGINT AS \"offset\", size AS n FROM o WHERE rn = 1 UNION ALL SELECT o.part, o.member, o.rn, CASE WHEN p.n > 0 AND (p.n + o.size > 32768 OR p.n >= 32768) THEN p.block + 1 ELSE p.block END, CASE WHEN p.n > 0 AND (p.n + o.size > 32768 OR p.n >= 32768) THEN 0 ELSE p.n END, CASE WHEN p.n > 0 AND (p.n + o.size > 32768 OR p.n >= 32768) THEN o.size ELSE p.n + o.size END FROM p JOIN o ON o.part = p.part AND o.rn = p.rn + 1) SELECT part, member, block, \"offset\" FROM p")
 def t3_solid_stream(spark, sf):
-    """Greedy packing of arriving documents; the open block is the state of its group, of 5,000 ids at most, so that a trigger's members are in order."""
+    """Greedy packing of arriving documents in the order of ids, in whatever order files bring them; groups are of 5,000 ids at most, and their members are the state."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = T.document_stream(spark, f"{sf}/documents.parque[t]", schema).where("text is not null")
     size = F.octet_length("text").cast("long")
     members = stream.where(size <= 4096).select(F.concat_ws("/", "lang", F.expr("doc_id div 5000").cast("string")).alias("part"), F.col("doc_id").alias("member"), size.alias("size"))
-    return T.finished(T.solid_stream(members, "part", 32768))
+    return T.settled(T.finished(T.solid_stream(members, "part", 32768)), "part")
 
 
 @query("s16_suite", f"""WITH t AS (SELECT repeat('{U.SENTENCE.decode().strip()}' || chr(10), 3600) AS x), n AS (SELECT unnest(range({U.SMALL_FILES})) AS k)

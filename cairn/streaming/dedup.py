@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +28,40 @@ def distinct_blocks(stream: DataFrame, size: int = 4096, content: str = "content
 
 
 def solid_stream(stream: DataFrame, group: str, limit: int) -> DataFrame:
-    """group, member, block, offset: greedy packing whose open block is the state of its group."""
+    """group, place, member, block, offset, round: greedy packing of each group's members in their order, however they arrive.
+
+    A trigger's members may lie before those of earlier triggers, which moves all that follow. So a group's state is its members
+    and their sizes, 16 bytes each, and a trigger tells the places that it makes or changes, under its round; `settled`
+    keeps the last word on each place. Groups must be of a bounded number of members.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        block, used = state.get if state.exists else (0, 0)
-        for f in frames:
-            f = f.sort_values("member")
-            places = []
-            for size in f["size"]:
-                if used and (used + size > limit or used >= limit):
-                    block, used = block + 1, 0
-                places.append((block, used))
-                used += int(size)
-            yield pd.DataFrame({group: key[0], "member": f["member"].to_numpy(), "block": [b for b, _ in places], "offset": [o for _, o in places]})
-        state.update((block, used))
-
-    return stream.groupBy(group).applyInPandasWithState(step, f"{group} string, member long, block long, offset long", "block long, used long", "append", GroupStateTimeout.NoTimeout)
+        kept, held, rounds = state.get if state.exists else (b"", b"", 0)
+        new = pd.concat(list(frames))  # a group's rows may come in several frames, which are in no order
+        members = np.concatenate([np.frombuffer(bytes(kept), np.int64), new["member"].to_numpy(np.int64)])
+        sizes = np.concatenate([np.frombuffer(bytes(held), np.int64), new["size"].to_numpy(np.int64)])
+        old = len(members) - len(new)
+        order = np.lexsort((sizes, members))
+        first = int(np.argmax(order != np.arange(len(order)))) if (order[:old] != np.arange(old)).any() else old  # places before stay
+        members, sizes = members[order], sizes[order]
+        block = used = 0
+        places = []
+        for size in sizes.tolist():
+            if used and (used + size > limit or used >= limit):
+                block, used = block + 1, 0
+            places.append((block, used))
+            used += size
+        state.update((members.tobytes(), sizes.tobytes(), rounds + 1))
+        changed = range(first, len(places))
+        yield pd.DataFrame({group: key[0], "place": changed, "member": members[first:], "block": [places[k][0] for k in changed], "offset": [places[k][1] for k in changed], "round": rounds})
+
+    return stream.groupBy(group).applyInPandasWithState(step, f"{group} string, place long, member long, block long, offset long, round long", "members binary, sizes binary, rounds long", "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(packed: DataFrame, group: str) -> DataFrame:
+    """group, member, block, offset: what the last trigger of `solid_stream` that touched a place said of it."""
+    last = packed.groupBy(group, "place").agg(F.max_by(F.struct("member", "block", "offset"), "round").alias("p"))
+    return last.select(group, "p.member", "p.block", "p.offset")
 
 
 def finished(stream: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from cairn.streaming import dedup as S
@@ -27,6 +29,36 @@ def test_solid_state(spark, tmp_path):
     assert [(b, o) for _, b, o in got] == [(0, 0), (0, 3), (1, 0), (2, 0), (2, 9), (3, 0), (3, 1)]
 
 
+def test_solid_state_of_files_in_any_order(spark, tmp_path):
+    """Members that arrive late, in several frames and as equal ids are packed as if all had come in order."""
+    sizes = {k: (k * 37) % 11 for k in range(60)}
+    files = [range(40, 60), range(0, 20, 2), range(20, 40), range(1, 20, 2), [7, 59]]
+    for n, ids in enumerate(files):
+        rows = [(g, k, sizes[k]) for g in "ab" for k in reversed(ids)]
+        spark.createDataFrame(rows, "kind string, member long, size long").coalesce(1).write.parquet(f"{tmp_path}/made/{n}")
+        source = next((tmp_path / "made" / str(n)).glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        source.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(few)
+    spark.conf.set(few, 7)
+    try:
+        stream = S.document_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        got = S.settled(S.finished(S.solid_stream(stream, "kind", 20)), "kind").collect()
+    finally:
+        spark.conf.set(few, before)
+    block = used = 0
+    want = []
+    for k in sorted(k for ids in files for k in ids):
+        if used and (used + sizes[k] > 20 or used >= 20):
+            block, used = block + 1, 0
+        want.append((k, block, used))
+        used += sizes[k]
+    for g in "ab":
+        assert sorted((r.member, r.block, r.offset) for r in got if r.kind == g) == sorted(want)
+
+
 def test_progress(spark, tmp_path):
     rows = [("2024-01-01 00:10:00", "verify", 5), ("2024-01-01 00:20:00", "verify", 6), ("2024-01-01 02:00:00", "extract", 1)]
     spark.createDataFrame(rows, "ts string, phase string, bytes long").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
