@@ -36,14 +36,17 @@ _GEAR = np.array(GEAR, np.uint64)
 
 def cut_one(data: bytes, least: int = CHUNK_MIN, most: int = CHUNK_MAX, mask_bits: int = CHUNK_MASK_BITS) -> list[int]:
     """Lengths of the chunks of one stream."""
-    out, mask, f, n = [], (1 << mask_bits) - 1, 0, 0
-    for b in data:
-        f = (((f << 1) | (f >> 63)) + GEAR[b]) & _M
-        n += 1
-        if n >= least and (not f & mask or n >= most):
-            out.append(n)
-            f = n = 0
-    return out + [n] if n else out
+    out, mask, at = [], (1 << mask_bits) - 1, 0
+    while len(data) - at > least:  # what is no longer than that is one chunk, whatever it holds
+        f = n = 0
+        for b in data[at : at + max(least, most)]:
+            f = (((f << 1) | (f >> 63)) + GEAR[b]) & _M
+            n += 1
+            if n >= least and (not f & mask or n >= most):
+                break
+        out.append(n)
+        at += n
+    return out + [len(data) - at] if at < len(data) else out
 
 
 def cut_many(streams: list[bytes], least: int = CHUNK_MIN, most: int = CHUNK_MAX, mask_bits: int = CHUNK_MASK_BITS) -> list[list[int]]:

@@ -67,10 +67,18 @@ def s13_payloads(spark, sf):
 def x29_sealed(spark, sf):
     """Sealed containers: read with the password; neither names nor settings but the key derivation's are in the clear."""
     made = pinned(_bundles(spark, sf, lambda x: N.container_of(x, password=PASSWORD, kdf=KDF), PER_SEALED))
-    clear = made.select("archive", F.col("content").alias("sealed"))
-    head = container.opened(made, "header", PASSWORD).select("archive", "kdf_memory_kib")
-    rows = container.opened(made, password=PASSWORD).join(clear, "archive").join(head, "archive")
-    return rows.select("path", "size", (~F.contains("sealed", F.col("path").cast("binary"))).alias("hidden"), "kdf_memory_kib")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for held in b.column("content"):
+                data = held.as_py()
+                ix = container.read_index(io.BytesIO(data), len(data), PASSWORD)  # the key is derived once for all that is read
+                rows = list(container.entry_rows(ix.manifest))
+                seen = N.occurring(data, [e["path"].encode() for e in rows])
+                columns = {"path": pa.array([e["path"] for e in rows], pa.string()), "size": pa.array([e["size"] for e in rows], pa.int64()), "hidden": pa.array([not x for x in seen], pa.bool_()), "kdf_memory_kib": pa.array([ix.kdf[0]] * len(rows), pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return made.select("content").mapInArrow(run, "path string, size long, hidden boolean, kdf_memory_kib long")
 
 
 _HARM = {

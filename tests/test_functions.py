@@ -1,6 +1,9 @@
-import hmac
 import hashlib
+import hmac
+import io
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from cairn.functions import binary as B
 from cairn.functions import crypto
 from cairn.functions import formats as X
 from cairn.functions import paths as P
+from cairn.sources import bundles, container
 
 
 def column(spark, values, kind, made):
@@ -98,6 +102,47 @@ def test_sealing_vectors():
         crypto.derive_key("x", bytes(16), 1, 1, 1)
 
 
+def test_sealing_many_equals_one_by_one():
+    key, r = bytes(range(32)), random.Random(29)
+    plains = [r.randbytes(n) for n in (0, 1, 63, 64, 65, 128, 70_000, 5, 0, 200_001)]
+    aads, nonces = [r.randbytes(n) for n in range(10)], [r.randbytes(24) for _ in range(10)]
+    many = crypto.seal_many(key, plains, aads, nonces)
+    assert many == [crypto.seal(key, *x) for x in zip(plains, aads, nonces)]
+    assert [crypto.unseal(key, x, a) for x, a in zip(many, aads)] == plains
+    assert crypto.seal_many(key, [], []) == []
+
+
+def test_sealed_container_works_on_many_blocks_at_once(monkeypatch):
+    """A thousand short blocks take a few passes of the cipher, not two each."""
+    calls, rounds = [], crypto._rounds
+    monkeypatch.setattr(crypto, "_rounds", lambda s: calls.append(s.shape) or rounds(s))
+    monkeypatch.setattr(crypto, "derive_key", lambda *a: bytes(32))
+    texts = [b"text %d" % k * 9 for k in range(1000)]
+    out = io.BytesIO()
+    entries = [{"path": "p", "type": "file", "size": 1, "segments": []}]
+    container.emit(out, ((hashlib.sha256(x).hexdigest(), 0, len(x), x) for x in texts), entries, password="p")
+    assert len(calls) <= 10
+    ix = container.read_index(io.BytesIO(out.getvalue()), len(out.getvalue()), "p")
+    assert [container.open_payload(ix.key, b, out.getvalue()[b.offset : b.offset + b.stored_size]) for b in ix.blocks] == texts
+
+
+def test_key_derivation_makes_few_arrays(monkeypatch):
+    """Blocks are compressed in place: stacking and rolling took most of the time."""
+    monkeypatch.setattr(np, "stack", None)
+    monkeypatch.setattr(np, "roll", None)
+    assert len(crypto.argon2id(b"p", bytes(16), 64, 1, 1)) == 32
+
+
+def test_occurring_names(monkeypatch):
+    r = random.Random(2)
+    for step in (1, 2, 5, 1 << 20):
+        monkeypatch.setattr(bundles, "_PASS", step)
+        for _ in range(50):
+            data = bytes(r.choices(b"abc", k=r.randrange(60)))
+            names = [bytes(r.choices(b"abc", k=r.randrange(7))) for _ in range(20)]
+            assert bundles.occurring(data, names) == [x in data for x in names]
+
+
 def test_column_sealing(spark):
     row = spark.createDataFrame([(b"secret", bytes(range(32)), bytes(12), b"aad")], "p binary, k binary, n binary, a binary")
     sealed = row.withColumn("s", crypto.seal_column(*map(F.col, "pkna")))
